@@ -139,7 +139,8 @@ class _Latex:
                 continue
             scripts = {}
             while self.peek() in ("^", "_") and self.peek() not in scripts:
-                scripts[self.take()] = self.argument()
+                mark = self.take()
+                scripts[mark] = self.argument()
             out.append(_scripted(base, scripts))
         return out
 
@@ -189,7 +190,8 @@ class _Latex:
         if name in _NARY_COMMAND:
             limits = {}
             while self.peek() in ("^", "_"):
-                limits[self.take()] = self.argument()
+                mark = self.take()
+                limits[mark] = self.argument()
             return _with(_make("nary", sub=limits.get("_", []), sup=limits.get("^", []), e=self.argument()), "naryPr", chr=_NARY_COMMAND[name])
         if name in _ACCENT_COMMAND:
             return _with(_make("acc", e=self.argument()), "accPr", chr=_ACCENT_COMMAND[name])

@@ -72,11 +72,11 @@ def parse_percent(text: Column) -> Column:
 
 
 def format_pt(value: Column) -> Column:
-    return F.when(value.isNotNull(), F.format_string("%.1fpt", value))
+    return F.when(value.isNotNull(), F.format_string("%.1fpt", F.bround(value, 1)))
 
 
 def format_mm(value: Column) -> Column:
-    return F.when(value.isNotNull(), F.format_string("%.1fmm", value * MM_PER_PT))
+    return F.when(value.isNotNull(), F.format_string("%.1fmm", F.bround(value * MM_PER_PT, 1)))
 
 
 def format_percent(value: Column) -> Column:

@@ -41,9 +41,9 @@ def with_text_content(nodes: DataFrame) -> DataFrame:
     wanted = (F.col("h.type") != "list") | ((F.col("_type") == "list_item") & (F.col("_parent") == F.col("h.seq")))
     met = holders.alias("h").join(leaves.alias("l"), inside).where(wanted)
     said = met.groupBy("h.doc_id", "h.seq", "h.type").agg(F.array_sort(F.collect_list(F.struct("_seq", "_own"))).alias("parts"))
-    said = said.select(
-        F.col("doc_id").alias("_d"), F.col("seq").alias("_s"), F.array_join(F.transform("parts", lambda p: p["_own"]), F.when(F.col("type") == "table", " ").otherwise("\n")).alias("_all")
-    )
+    texts = F.transform("parts", lambda p: p["_own"])
+    joined = F.when(F.col("type") == "table", F.array_join(texts, " ")).otherwise(F.array_join(texts, "\n"))
+    said = said.select(F.col("doc_id").alias("_d"), F.col("seq").alias("_s"), joined.alias("_all"))
     return own.join(said, own["doc_id"].eqNullSafe(said["_d"]) & (own["seq"] == said["_s"]), "left").select(
         *[own[c] for c in nodes.columns], F.coalesce("_all", "_own").alias("text_content")
     )

@@ -59,7 +59,7 @@ def merge_adjacent_inlines(nodes: DataFrame) -> DataFrame:
     style = [n for n in INLINE_NAMES if n not in ("text",)]
 
     def step(done: Column, x: Column) -> Column:
-        last = F.element_at(done, -1)
+        last = F.try_element_at(done, F.lit(-1))
         same = (F.size(done) > 0) & (x["type"] == "text")
         for n in style:
             same = same & last[n].eqNullSafe(x[n])

@@ -26,7 +26,7 @@ def match_offsets(text: Column, pattern: str) -> Column:
     found, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
 
     def step(done: Column, pair: Column) -> Column:
-        start = F.coalesce(F.element_at(done, -1)["end"], F.lit(0)) + F.length(pair["gap"])
+        start = F.coalesce(F.try_element_at(done, F.lit(-1))["end"], F.lit(0)) + F.length(pair["gap"])
         return F.concat(done, F.array(F.struct(pair["hit"].alias("match"), start.alias("start"), (start + F.length(pair["hit"])).alias("end"))))
 
     pairs = F.zip_with(found, F.slice(between, F.lit(1), F.size(found)), lambda h, g: F.struct(h.alias("hit"), g.alias("gap")))
