@@ -10,7 +10,9 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import ODD, PieceCache, _ASCII_BYTE
+from .words import TextEncoder, byte_pieces
+
+_DECODERS: dict[str, BytePairEncoder] = {}
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -115,38 +117,45 @@ class BytePairEncoder:
 
 
 def pretokens(text: str, pattern: str) -> list[str]:
-    """The matches of ``pattern``; the same by a faster expression where the text is ASCII."""
     import regex
 
-    if text.isascii() and not ODD.search(text):
-        return _ASCII_BYTE.findall(text)
     return regex.findall(pattern, text)
 
 
 def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, with_ids: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every text; on request also ids and decoded.
 
-    Null and empty texts have no ids. Every pre-token is encoded by :class:`BytePairEncoder` once for as long
-    as it stays in a bounded cache. Null ids and repeated rows are kept; other columns are not read.
-    ``pattern`` must be the one of the rank files, as ASCII texts take a fixed equal of it.
+    Null and empty texts have no ids. Every pre-token is encoded by :class:`BytePairEncoder` once for
+    as long as it stays in a bounded table. Null ids and repeated rows are kept; other columns are
+    not read. Texts are first cut at white space and, where they are ASCII, between kinds of signs,
+    which must be borders of ``pattern`` too, as they are of the rank files' pattern.
     """
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<long>, decoded binary" * with_ids
 
     def run(batches):
         import pyarrow as pa
 
-        encoder = BytePairEncoder(read_ranks(ranks_path))
-        cache = PieceCache(lambda pieces: [np.array(encoder.encode(p.encode("utf-8", "surrogatepass")), "<u4").tobytes() for p in pieces])
+        def make():
+            own = BytePairEncoder(read_ranks(ranks_path))
+            decoders[ranks_path] = own
+
+            def encode(pieces: list[bytes]) -> list[np.ndarray]:
+                """A piece is a whole pre-token or several; each is merged by itself."""
+                return [np.array([i for t in pretokens(p.decode("utf-8", "surrogatepass"), pattern) for i in own.encode(t.encode("utf-8", "surrogatepass"))], np.uint32) for p in pieces]
+
+            return encode
+
+        decoders = _DECODERS
+        encoder = TextEncoder.of(ranks_path, make, byte_pieces)
+        decode = decoders[ranks_path].decode
         names = [c.split()[0] for c in schema.split(", ")]
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int64()), pa.binary()][: len(names)]
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                pieces = pretokens(text or "", pattern)
-                packed = b"".join(map(cache.fill(pieces), pieces))
-                ids = np.frombuffer(packed, "<u4").tolist()
-                decoded = encoder.decode(ids)
-                row = (doc_id, len(ids), hashlib.sha256(packed).hexdigest(), hashlib.sha256(decoded).hexdigest())
+            for doc_id, found in zip(batch.column("doc_id").to_pylist(), encoder.encode(batch.column("text")), strict=True):
+                ids = found.tolist()
+                decoded = decode(ids)
+                row = (doc_id, len(ids), hashlib.sha256(found.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(decoded).hexdigest())
                 rows.append((*row, ids, decoded) if with_ids else row)
             columns = list(zip(*rows, strict=True)) or [[]] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import mix64, partitions, powers, segment_hash, segment_sums
+from .words import rows_of
 
 WINDOW, LEAST_BLOCK, LENGTH, COMMON = 7, 1, 64, 4
 _LETTERS = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", np.uint8)
@@ -144,7 +145,7 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
         waiting = None
         for batch in batches:
             rows = []
-            for doc_id, text, where, guest in zip(*[batch.column(c).to_pylist() for c in ("doc_id", "text", "range", "guest")], strict=True):
+            for doc_id, text, where, guest in rows_of(batch, "doc_id", "text", "range", "guest"):
                 mark = fingerprint(text)
                 if waiting and waiting[3] == where:
                     rows.append(row_of(*waiting[:3], text, mark))

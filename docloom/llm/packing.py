@@ -199,13 +199,12 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: in
     """
 
     def run(batches):
-        import pyarrow as pa
-
-        encoder = TextEncoder(tokenizer_path, word_pieces)
+        encoder = TextEncoder.of_tokenizer(tokenizer_path, word_pieces)
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             rows = []
-            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode(batch.column("text").to_pylist(), end), strict=True):
+            for doc_id, found in zip(batch.column("doc_id").to_pylist(), encoder.encode(batch.column("text")), strict=True):
+                ids = found.tobytes() + end
                 for piece, at in enumerate(range(0, len(ids), capacity * 4)):
                     cut = ids[at : at + capacity * 4]
                     row = (doc_id, piece, at // 4, len(cut) // 4, zlib.crc32(cut))

@@ -171,10 +171,11 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, folder:
         import pyarrow as pa
         from pyspark import TaskContext
 
-        encoder, end, out = TextEncoder(tokenizer_path, byte_pieces), np.array([end_id], "<u4").tobytes(), None
+        encoder, end, out = TextEncoder.of_tokenizer(tokenizer_path, byte_pieces), np.array([end_id], "<u4").tobytes(), None
         number = TaskContext.get().partitionId()
         for batch in batches:
-            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode(batch.column("text").to_pylist(), end), strict=True):
+            for doc_id, found in zip(batch.column("doc_id").to_pylist(), encoder.encode(batch.column("text")), strict=True):
+                ids = found.tobytes() + end
                 if out is None:
                     system, place = _opened(folder)
                     system.create_dir(place, recursive=True)
