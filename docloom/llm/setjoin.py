@@ -4,8 +4,9 @@
 2. A set is cut by hash range into more parts than two linked sets can differ in, so that linked
    sets agree in one part at least; the parts' hashes are signatures. Only sets that share a
    signature with another set go on. Documents that share a passage rarely agree in a whole part.
-3. Sets whose smallest shared signature is equal form a group: most of their tokens agree. A group
-   of many tokens is split. The token-group matrix is the union of the tokens of each group.
+3. Sets whose most common signature is the same form a group: near copies of one text fall into
+   few groups. A group of many tokens is split. The token-group matrix is the union of the tokens
+   of each group.
 4. A set is a query for the other groups in which one of its signatures occurs. The overlap with
    the group's union bounds the overlap with each member; only groups whose bound reaches the
    threshold are opened and their members compared exactly.
@@ -212,9 +213,7 @@ def _shared(batches):
                 yield part
             else:
                 entries = np.frombuffer(b"".join(part.column("payload").to_pylist()), np.uint8).reshape(-1, 12)
-                sizes = np.array([len(p.as_py()) // 12 for p in part.column("payload")])
                 yield from _pairs(_unpack48(entries[:, :6]), _unpack48(entries[:, 6:]))
-                del entries, sizes
         part = batch.filter(_mask(kinds == 1))
         for bucket, payload in zip(part.column("bucket").to_pylist(), part.column("payload").to_pylist(), strict=True):
             by_bucket[bucket].append(payload)
@@ -393,7 +392,8 @@ def jaccard_components(docs: DataFrame, n: int = 5, least: int = 80, of: int = 1
     signs = stored(table.where("kind = 2").select(F.col("a").alias("sign"), F.col("b").alias("f48")).distinct(), "shared-signatures")
 
     # Groups of similar sets, split where they hold many tokens.
-    keyed = sets.join(signs.groupBy("f48").agg(F.min("sign").alias("key")), "f48")
+    counted = signs.join(signs.groupBy("sign").agg(F.count(F.lit(1)).alias("held_by")), "sign")
+    keyed = sets.join(counted.groupBy("f48").agg(F.max(F.struct("held_by", "sign"))["sign"].alias("key")), "f48")
     sizes = keyed.groupBy("key").agg(F.ceil(F.sum("n") / GROUP_TOKENS).alias("splits"))
     grouped = keyed.join(sizes, "key").withColumn("gid", F.xxhash64("key", F.pmod(F.xxhash64("f1", "f2"), F.col("splits"))))
     grouped = stored(grouped.select("f48", "f1", "f2", "rep", "copies", "n", "gid"), "grouped-sets")
