@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .words import TextEncoder, byte_pieces
 
-_DECODERS: dict[str, BytePairEncoder] = {}
+_SHARED: dict[tuple[str, str], tuple] = {}
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -122,6 +122,20 @@ def pretokens(text: str, pattern: str) -> list[str]:
     return regex.findall(pattern, text)
 
 
+def shared_encoder(ranks_path: str, pattern: str):
+    """The encoder of whole columns and the decoder of a rank file, one of each for a process."""
+    key = (ranks_path, pattern)
+    if key not in _SHARED:
+        own = BytePairEncoder(read_ranks(ranks_path))
+
+        def encode(pieces: list[bytes]) -> list[np.ndarray]:
+            """A piece is a whole pre-token or several; each is merged by itself."""
+            return [np.array([i for t in pretokens(p.decode("utf-8", "surrogatepass"), pattern) for i in own.encode(t.encode("utf-8", "surrogatepass"))], np.uint32) for p in pieces]
+
+        _SHARED[key] = (TextEncoder(encode, byte_pieces), own.decode)
+    return _SHARED[key]
+
+
 def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, with_ids: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every text; on request also ids and decoded.
 
@@ -135,19 +149,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, with_ids: b
     def run(batches):
         import pyarrow as pa
 
-        def make():
-            own = BytePairEncoder(read_ranks(ranks_path))
-            decoders[ranks_path] = own
-
-            def encode(pieces: list[bytes]) -> list[np.ndarray]:
-                """A piece is a whole pre-token or several; each is merged by itself."""
-                return [np.array([i for t in pretokens(p.decode("utf-8", "surrogatepass"), pattern) for i in own.encode(t.encode("utf-8", "surrogatepass"))], np.uint32) for p in pieces]
-
-            return encode
-
-        decoders = _DECODERS
-        encoder = TextEncoder.of(ranks_path, make, byte_pieces)
-        decode = decoders[ranks_path].decode
+        encoder, decode = shared_encoder(ranks_path, pattern)
         names = [c.split()[0] for c in schema.split(", ")]
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int64()), pa.binary()][: len(names)]
         for batch in batches:

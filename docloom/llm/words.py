@@ -246,12 +246,6 @@ class TextEncoder:
             _MADE[key] = TextEncoder(encode, pieces)
         return _MADE[key]
 
-    @staticmethod
-    def of(key: str, encode: Callable[[], Callable[[list[bytes]], list[np.ndarray]]], pieces: Callable) -> TextEncoder:
-        if ("own", key) not in _MADE:
-            _MADE[("own", key)] = TextEncoder(encode(), pieces)
-        return _MADE[("own", key)]
-
     def encode(self, column):
         """The ids of each text of an Arrow column, as uint32; a null text is empty."""
         data, offsets = utf8_buffer(column)
