@@ -577,3 +577,73 @@ def streamed_counts(spark, sf_dir):
 
     counts.writeStream.outputMode("complete").option("checkpointLocation", check).foreachBatch(keep).trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema("day date, event_type string, rows long").parquet(out)
+
+
+# Positioned text made from conversations: a line for each turn, the role decides its font.
+_SPANS = """
+spans AS (SELECT conv_id AS doc_id, turn // 4 AS page, 10.0 AS x0, 700.0 - 20 * (turn % 4) AS y0, 300.0 AS x1, 710.0 - 20 * (turn % 4) AS y1, coalesce(text, '') AS text,
+    CASE role WHEN 'system' THEN 24.0 WHEN 'user' THEN 10.0 ELSE 12.5 END::DOUBLE AS size, turn % 3 = 0 AS bold FROM conversations),
+sizes AS (SELECT doc_id, size AS body_size FROM (SELECT doc_id, size, row_number() OVER (PARTITION BY doc_id ORDER BY sum(length(regexp_replace(text, '\\s', '', 'g'))) DESC, size) AS r FROM spans GROUP BY doc_id, size) WHERE r = 1)"""
+
+
+def _spans(spark, sf_dir) -> DataFrame:
+    turn, role = F.col("turn"), F.col("role")
+    y = F.lit(700.0) - 20 * (turn % 4)
+    size = F.when(role == "system", 24.0).when(role == "user", 10.0).otherwise(12.5)
+    return _read(spark, sf_dir, "conversations").select(
+        F.col("conv_id").alias("doc_id"), F.floor(turn / 4).alias("page"), F.lit(10.0).alias("x0"), y.alias("y0"), F.lit(300.0).alias("x1"), (y + 10.0).alias("y1"), F.coalesce("text", F.lit("")).alias("text"), size.alias("size"), (turn % 3 == 0).alias("bold")
+    )
+
+
+@register(f"WITH {_SPANS} SELECT * FROM sizes")
+def layout_body_sizes(spark, sf_dir):
+    from ..operators import layout
+
+    return layout.body_sizes(_spans(spark, sf_dir))
+
+
+@register(f"""WITH {_SPANS} SELECT doc_id, page, CASE WHEN l IS NOT NULL THEN 'heading' ELSE 'paragraph' END AS type, l::INTEGER AS level, md5(text) AS digest FROM (
+    SELECT doc_id, page, text, CASE WHEN size / body_size >= 2 THEN 1 WHEN size / body_size >= 1.6 THEN 2 WHEN size / body_size >= 1.3 THEN 3 WHEN size / body_size > 1.15 THEN 4 WHEN bold AND length(regexp_replace(text, '\\s', '', 'g')) > 0 THEN 4 END AS l FROM spans JOIN sizes USING (doc_id))""")
+def layout_blocks(spark, sf_dir):
+    from ..operators import layout
+
+    return layout.blocks(_spans(spark, sf_dir), 2000.0).select("doc_id", F.col("page").cast("long").alias("page"), "type", "level", F.md5("text").alias("digest"))
+
+
+@register("""WITH e AS (SELECT user_id, value, value - lag(value) OVER (PARTITION BY user_id ORDER BY value) AS gap FROM events), g AS (SELECT user_id, list_sort(list(gap) FILTER (gap IS NOT NULL)) AS gs FROM e GROUP BY user_id),
+    m AS (SELECT user_id, greatest(coalesce(gs[len(gs) // 2 + 1], 0) * 4, 3) AS cut FROM g), n AS (SELECT user_id, value, sum((coalesce(gap, 0) > cut)::INT) OVER (PARTITION BY user_id ORDER BY value) AS cluster FROM e JOIN m USING (user_id))
+    SELECT user_id, cluster::BIGINT AS cluster, count(*) AS n FROM n GROUP BY ALL""")
+def layout_clusters(spark, sf_dir):
+    from ..operators import layout
+
+    return layout.clusters(_read(spark, sf_dir, "events").select("user_id", "value"), "user_id", "value", 4.0, 3.0).groupBy("user_id", "cluster").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("SELECT page AS page_no, s AS split_x FROM (SELECT p_size AS page, max(x1) FILTER (x1 <= 40) AS l, min(x0) FILTER (x0 >= 70) AS r, count(*) FILTER (x1 <= 40) AS nl, count(*) FILTER (x0 >= 70) AS nr FROM (SELECT p_size, CASE WHEN p_partkey % 2 = 0 THEN 10.0 ELSE 80.0 END AS x0, CASE WHEN p_partkey % 2 = 0 THEN 40.0 ELSE 110.0 END AS x1 FROM part) GROUP BY p_size), LATERAL (SELECT (l + r) / 2 AS s) WHERE nl >= 2 AND nr >= 2")
+def layout_columns(spark, sf_dir):
+    from ..operators import layout
+
+    left = F.col("p_partkey") % 2 == 0
+    boxes = _read(spark, sf_dir, "part").select(F.lit(1).alias("doc_id"), F.col("p_size").alias("page"), F.when(left, 10.0).otherwise(80.0).alias("x0"), F.when(left, 40.0).otherwise(110.0).alias("x1"))
+    return layout.column_split(boxes).select(F.col("page").alias("page_no"), "split_x")
+
+
+@register("SELECT doc_id, 1::BIGINT AS para, rule_id FROM (SELECT doc_id, unnest(CASE doc_id % 3 WHEN 0 THEN ['R1'] WHEN 1 THEN ['R2', 'R3'] ELSE [] END) AS rule_id FROM documents)")
+def hwp_records(spark, sf_dir):
+    """Record streams with a paragraph each, some of whose counts are wrong, and the rules they break."""
+    from ..sources import hwp
+
+    @F.pandas_udf("binary")
+    def stream(ids):
+        import struct
+
+        def made(i):
+            text = "text".encode("utf-16-le") + b"\r\x00"
+            head = struct.pack("<IIHBBHHHHI", (9 if i % 3 == 0 else 5), 0, 0, 0, 0, 1, 0, 1, 0, 0)
+            parts = [hwp.make_record(hwp.PARA_HEADER, 0, head), hwp.make_record(hwp.PARA_TEXT, 1, text), hwp.make_record(hwp.PARA_CHAR_SHAPE, 1, bytes(8))]
+            return b"".join(parts + ([] if i % 3 == 1 else [hwp.make_record(hwp.PARA_LINE_SEG, 1, bytes(36))]))
+
+        return ids.map(made)
+
+    streams = _read(spark, sf_dir, "documents").select("doc_id", stream("doc_id").alias("stream"))
+    return hwp.validate_records(hwp.records_of(streams))
