@@ -332,7 +332,7 @@ def detect_format(spark, sf_dir):
     return _read(spark, sf_dir, "documents").select(file.alias("file")).withColumn("format", format_of(F.col("file")))
 
 
-@register("SELECT * FROM (VALUES ('md', true, true), ('html', true, true), ('xml', true, false), ('docx', true, true), ('hwpx', false, false), ('hwp', false, false), ('pdf', false, false)) v(name, parses, renders)")
+@register("SELECT * FROM (VALUES ('md', true, true), ('html', true, true), ('xml', true, false), ('docx', true, true), ('hwpx', true, true), ('hwp', false, false), ('pdf', false, false)) v(name, parses, renders)")
 def formats(spark, sf_dir):
     return spark.createDataFrame([(s.name, s.parses, s.renders) for s in FORMATS.values()], "name string, parses boolean, renders boolean")
 
@@ -471,6 +471,19 @@ def docx_round_trip(spark, sf_dir):
     return back.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_blocks"), F.md5(F.array_join(F.transform(lines, lambda x: x["t"]), "\n")).alias("digest"))
 
 
+@register(f"WITH {_PLAIN} SELECT doc_id, count(*) AS n_blocks, md5(string_agg(line, chr(10) ORDER BY seq)) AS digest FROM plain GROUP BY doc_id")
+def hwpx_round_trip(spark, sf_dir):
+    back = parse_documents(render_documents(_plain(spark, sf_dir), "hwpx"), "hwpx", "content").where("type = 'paragraph'")
+    lines = F.array_sort(F.collect_list(F.struct("seq", query.own_text().alias("t"))))
+    return back.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_blocks"), F.md5(F.array_join(F.transform(lines, lambda x: x["t"]), "\n")).alias("digest"))
+
+
+@register("SELECT doc_id, 0::BIGINT AS errors, true AS passed FROM documents WHERE text IS NOT NULL")
+def validate_hwpx(spark, sf_dir):
+    made = render_documents(_md_nodes(spark, sf_dir), "hwpx")
+    return rules.reports(made, rules.validate_hwpx(made)).select("doc_id", "errors", "passed")
+
+
 @register("SELECT doc_id, 0::BIGINT AS errors, true AS passed FROM documents WHERE text IS NOT NULL")
 def validate_docx(spark, sf_dir):
     made = render_documents(_md_nodes(spark, sf_dir), "docx")

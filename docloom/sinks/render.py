@@ -6,20 +6,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..model import NODES, tree_of
+from .hwpx import to_hwpx
 from .writers import to_docx, to_html, to_json, to_markdown
 
-WRITERS = {"md": to_markdown, "html": to_html, "json": to_json, "docx": to_docx}
+WRITERS = {"md": to_markdown, "html": to_html, "json": to_json, "docx": to_docx, "hwpx": to_hwpx}
+BINARY = ("docx", "hwpx")
 
 
 def render_documents(nodes: DataFrame, fmt: str, **options) -> DataFrame:
-    """doc_id and content (string; binary for docx) of every document.
+    """doc_id and content (string; binary for packages) of every document.
 
     Nodes are dealt by doc_id once and streamed through in order, so a task holds one document at a time.
     """
     fmt = fmt.lower().strip().lstrip(".")
     if fmt not in WRITERS:
         raise ValueError(f"cannot render {fmt}")
-    binary = fmt == "docx"
+    binary = fmt in BINARY
 
     def run(batches):
         import pyarrow as pa

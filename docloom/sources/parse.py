@@ -9,11 +9,13 @@ from pyspark.sql import types as T
 from ..model import NODES, Node, rows_of
 from .docx import parse_docx
 from .html import parse_html
+from .hwpx import parse_hwpx
 from .markdown import parse_markdown
 from .registry import format_of
 from .xml import parse_xml
 
-PARSERS = {"md": parse_markdown, "html": parse_html, "xml": parse_xml, "docx": parse_docx}
+PARSERS = {"md": parse_markdown, "html": parse_html, "xml": parse_xml, "docx": parse_docx, "hwpx": parse_hwpx}
+BINARY = ("docx", "hwpx")
 #: Nodes handed to Spark at once.
 BATCH = 5_000
 
@@ -22,7 +24,7 @@ def _parse(fmt: str, content) -> list[Node]:
     if fmt not in PARSERS:
         return [Node("unknown", "b_0001", attrs={"error": f"no parser for {fmt}"})]
     try:
-        if isinstance(content, (bytes, bytearray)) and fmt != "docx":
+        if isinstance(content, (bytes, bytearray)) and fmt not in BINARY:
             content = bytes(content).decode("utf-8", "replace")
         return PARSERS[fmt](content)
     except Exception as e:  # one bad document must not end the job; it is reported as an unknown block

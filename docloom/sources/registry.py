@@ -29,7 +29,7 @@ FORMATS = {
         FormatSpec("html", (".html", ".htm"), "text/html", True, True),
         FormatSpec("xml", (".xml", ".dbk"), "application/xml", True, False),
         FormatSpec("docx", (".docx",), "application/vnd.openxmlformats-officedocument.wordprocessingml.document", True, True, True),
-        FormatSpec("hwpx", (".hwpx",), "application/hwp+zip", False, False, True),
+        FormatSpec("hwpx", (".hwpx",), "application/hwp+zip", True, True, True),
         FormatSpec("hwp", (".hwp",), "application/x-hwp", False, False, True),
         FormatSpec("pdf", (".pdf",), "application/pdf", False, False, True),
     )

@@ -131,14 +131,66 @@ def docx_violations(content: bytes) -> list[tuple[str, str]]:
     return out
 
 
-def validate_docx(packages: DataFrame, content: str = "content") -> DataFrame:
-    """Violations of packages (doc_id, content)."""
+# Parts of an HWPX package, the roots of its main parts and the languages of its fonts.
+HWPX_PARTS = ("mimetype", "version.xml", "META-INF/container.xml", "Contents/content.hpf", "Contents/header.xml", "Contents/section0.xml")
+HWPX_LANGUAGES = {"HANGUL", "LATIN", "HANJA", "JAPANESE", "OTHER", "SYMBOL", "USER"}
+
+
+def hwpx_violations(content: bytes) -> list[tuple[str, str]]:
+    """(rule, message): mimetype (HX1), parts (HX2), manifest (HX3), header (HX4), namespaces (HX5), pictures (HX6), well-formedness (HX7)."""
+    from ..sources.xml import local, safe_tree
 
+    try:
+        archive = zipfile.ZipFile(io.BytesIO(content or b""))
+    except zipfile.BadZipFile:
+        return [("HX2", "not a zip archive")]
+    infos, out, trees = archive.infolist(), [], {}
+    names = {i.filename for i in infos}
+    if not infos or infos[0].filename != "mimetype" or infos[0].compress_type != zipfile.ZIP_STORED or archive.read("mimetype") != b"application/hwp+zip":
+        out.append(("HX1", "mimetype must come first, stored, and name the format"))
+    out += [("HX2", f"{part} is missing") for part in HWPX_PARTS if part not in names]
+    for name in sorted(n for n in names if re.search(r"\.(xml|hpf|rdf)$", n)):
+        try:
+            trees[name] = safe_tree(archive.read(name))
+        except ET.ParseError as e:
+            out.append(("HX7", f"{name}: {e}"))
+    manifest = trees.get("Contents/content.hpf")
+    items = {e.get("id"): e.get("href", "") for e in manifest.iter() if local(e.tag) == "item"} if manifest is not None else {}
+    hrefs = {posixpath.normpath(h) for h in items.values()}
+    out += [("HX3", f"{h} is listed but absent") for h in sorted(hrefs) if h not in names]
+    out += [("HX3", f"{n} is not in the manifest") for n in sorted(names) if re.fullmatch(r"Contents/section\d+\.xml", n) and n not in hrefs]
+    head = trees.get("Contents/header.xml")
+    if head is not None:
+        missing = HWPX_LANGUAGES - {e.get("lang") for e in head.iter() if local(e.tag) == "fontface"}
+        out += [("HX4", f"no fonts for {', '.join(sorted(missing))}")] if missing else []
+        out += [("HX4", f"no {part}") for part in ("charPr", "paraPr", "style") if not any(local(e.tag) == part for e in head.iter())]
+    for name, tree in trees.items():
+        wanted = {"Contents/header.xml": "head", **({name: "section"} if re.fullmatch(r"Contents/section\d+\.xml", name) else {})}.get(name)
+        if wanted and not tree.tag.startswith("{http://www.hancom.co.kr/hwpml/2011/" + wanted + "}"):
+            out.append(("HX5", f"{name}: root is {tree.tag}"))
+        for e in tree.iter():
+            ref = e.get("binaryItemIDRef")
+            if ref and ref not in items and not any(n.startswith(f"BinData/{ref}.") for n in names):
+                out.append(("HX6", f"{name}: picture {ref} is absent"))
+    return out
+
+
+def _packages(packages: DataFrame, content: str, check) -> DataFrame:
     def run(batches):
-        for pdf in batches:
-            rows = [(d, rule, message, "error") for d, c in zip(pdf["doc_id"], pdf["content"], strict=True) for rule, message in docx_violations(c)]
-            import pandas as pd
+        import pandas as pd
 
+        for pdf in batches:
+            rows = [(d, rule, message, "error") for d, c in zip(pdf["doc_id"], pdf["content"], strict=True) for rule, message in check(c)]
             yield pd.DataFrame(rows, columns=["doc_id", "rule_id", "message", "severity"])
 
     return packages.select("doc_id", F.col(content).alias("content")).mapInPandas(run, SCHEMA)
+
+
+def validate_hwpx(packages: DataFrame, content: str = "content") -> DataFrame:
+    """Violations of HWPX packages (doc_id, content)."""
+    return _packages(packages, content, hwpx_violations)
+
+
+def validate_docx(packages: DataFrame, content: str = "content") -> DataFrame:
+    """Violations of DOCX packages (doc_id, content)."""
+    return _packages(packages, content, docx_violations)

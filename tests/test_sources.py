@@ -134,3 +134,28 @@ def test_detection(spark):
 
 def test_html_output_escapes():
     assert "&lt;x&gt;" in to_html(parse_markdown("a <x> b"))
+
+
+def test_hwpx_round_trip_is_valid():
+    from docloom.sinks.hwpx import to_hwpx
+    from docloom.sources.hwpx import parse_hwpx
+    from docloom.validation.rules import hwpx_violations
+
+    html = "<h2>H</h2><p>a <b>b</b> <a href='http://x'>l</a></p><table><tr><td rowspan=2>p</td><td>q</td></tr><tr><td>r</td></tr></table>"
+    package = to_hwpx([*parse_html(html), *parse_markdown("x[^1]\n\n[^1]: note")])
+    assert hwpx_violations(package) == []
+    blocks = parse_hwpx(package)
+    assert [b.type for b in blocks] == ["heading", "paragraph", "table", "paragraph", "footnote"]
+    assert blocks[0].level == 2 and blocks[2].children[0].children[0].row_span == 2
+    assert [i["url"] for i in blocks[1].inlines if i["type"] == "link"] == ["http://x"]
+    assert [i["text"] for i in blocks[1].inlines if i["bold"]] == ["b"]
+    assert {r for r, _ in hwpx_violations(b"junk")} == {"HX2"}
+
+
+def test_hwp_records():
+    from docloom.sources import hwp
+
+    stream = hwp.make_record(hwp.PARA_HEADER, 0, bytes(24)) + hwp.make_record(hwp.PARA_TEXT, 1, b"x" * 5000) + b"\x01"
+    assert [(t, v, len(p)) for t, v, p in hwp.iter_records(stream)] == [(hwp.PARA_HEADER, 0, 24), (hwp.PARA_TEXT, 1, 5000)]
+    tab = "a".encode("utf-16-le") + b"\x09\x00" + bytes(14) + "b😀\r z".encode("utf-16-le")
+    assert hwp.plain_text(tab) == "a\tb😀" and hwp.control_id(b" lbt") == "tbl "
