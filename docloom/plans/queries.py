@@ -478,6 +478,35 @@ def hwpx_round_trip(spark, sf_dir):
     return back.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_blocks"), F.md5(F.array_join(F.transform(lines, lambda x: x["t"]), "\n")).alias("digest"))
 
 
+@register("SELECT doc_id, unnest(['heading', 'paragraph', 'list', 'table']) AS type, unnest([source, lang, 'a' || chr(10) || 'b', source || ' ' || lang]) AS said FROM documents")
+def json_blocks(spark, sf_dir):
+    """Documents described in JSON."""
+    rows = F.array(F.array("source", "lang"))
+    spec = F.to_json(
+        F.array(
+            F.to_json(F.struct(F.lit("heading").alias("type"), F.lit(9).alias("level"), F.col("source").alias("text"))),
+            F.to_json(F.struct(F.lit("paragraph").alias("type"), F.col("lang").alias("text"))),
+            F.to_json(F.struct(F.lit("list").alias("type"), F.array(F.lit("a"), F.lit("b")).alias("items"))),
+            F.to_json(F.struct(F.lit("table").alias("type"), rows.alias("rows"))),
+        )
+    )
+    described = F.concat(F.lit("["), F.array_join(F.from_json(spec, "array<string>"), ","), F.lit("]"))
+    nodes = query.with_text_content(parse_documents(_read(spark, sf_dir, "documents"), "json", described))
+    return nodes.where("depth = 0").select("doc_id", "type", F.col("text_content").alias("said"))
+
+
+@register(r"SELECT doc_id, '\frac{a_{' || doc_id || '}}{\sqrt{b}} + \sum_{i = 1}^{n} x^{2}' AS latex FROM documents")
+def equation_scripts(spark, sf_dir):
+    from ..functions.script import script_to_latex
+
+    @F.pandas_udf("string")
+    def latex(scripts):
+        return scripts.map(script_to_latex)
+
+    script = F.concat(F.lit("{a_"), F.col("doc_id").cast("string"), F.lit("} over {sqrt b} + sum from {i=1} to n x^2"))
+    return _read(spark, sf_dir, "documents").select("doc_id", latex(script).alias("latex"))
+
+
 @register("SELECT doc_id, 0::BIGINT AS errors, true AS passed FROM documents WHERE text IS NOT NULL")
 def validate_hwpx(spark, sf_dir):
     made = render_documents(_md_nodes(spark, sf_dir), "hwpx")

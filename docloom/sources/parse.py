@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..builder import parse_json
 from ..model import NODES, Node, rows_of
 from .docx import parse_docx
 from .html import parse_html
@@ -14,7 +15,7 @@ from .markdown import parse_markdown
 from .registry import format_of
 from .xml import parse_xml
 
-PARSERS = {"md": parse_markdown, "html": parse_html, "xml": parse_xml, "docx": parse_docx, "hwpx": parse_hwpx}
+PARSERS = {"md": parse_markdown, "html": parse_html, "xml": parse_xml, "docx": parse_docx, "hwpx": parse_hwpx, "json": parse_json}
 BINARY = ("docx", "hwpx")
 #: Nodes handed to Spark at once.
 BATCH = 5_000

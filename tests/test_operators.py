@@ -93,3 +93,23 @@ def test_stream_of_files(spark, tmp_path):
     q = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted(r["type"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["heading", "paragraph", "paragraph"]
+
+
+def test_builder(spark):
+    from docloom.builder import DocumentBuilder, page_settings, parse_json, to_nodes
+
+    b = DocumentBuilder().heading(9, "t").paragraph("p", bold=True).footnote("n").table([["a", {"text": "b", "col_span": 2}], [None, "c"]]).list(["x"], ordered=True).code("c", "py").quote("q").link("l", "u").page_break()
+    nodes = to_nodes(spark, {7: b})
+    said = {r["type"]: r["text_content"] for r in query.with_text_content(nodes).where("depth = 0").collect()}
+    assert said["table"] == "a b c" and said["footnote"] == "n" and said["quote"] == "q"
+    assert nodes.where("type = 'heading'").first()["level"] == 6 and b.blocks[1].inlines[-1]["ref"] == "1"
+    assert [n.type for n in parse_json('{"blocks": [{"type": "zzz", "text": "a"}, {"type": "equation", "latex": "x"}]}')] == ["paragraph", "equation"]
+    assert page_settings("A4", "landscape", (10.0, None, None, None))["width"] == 841.89
+
+
+def test_equation_scripts():
+    from docloom.functions.script import script_to_latex
+
+    cases = {"a over b": "\\frac{a}{b}", "ALPHA^2": "\\Alpha^{2}", "root 3 of x": "\\sqrt[3]{x}", "pmatrix{a & b # c & d}": "\\begin{pmatrix}a & b \\\\ c & d\\end{pmatrix}", "": "", 'x <= "if" y': "x \\leq \\text{if} y", "left ( a right )": "\\left( a \\right)"}
+    for script, latex in cases.items():
+        assert script_to_latex(script) == latex
