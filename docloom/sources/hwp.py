@@ -1,7 +1,4 @@
-"""Records of HWP 5 streams: their headers, texts and rules, as rows that SQL can query.
-
-Reading streams out of the compound file is not done here; streams come as bytes.
-"""
+"""HWP 5 files: their records as rows that SQL can query, the rules on them, and their blocks."""
 
 from __future__ import annotations
 
@@ -123,3 +120,152 @@ def validate_records(records: DataFrame) -> DataFrame:
         )
     )
     return paras.select("doc_id", "para", F.explode(rules).alias("rule_id"))
+
+
+# Tags of the document information and of controls' parts.
+FACE_NAME, CHAR_SHAPE, STYLE, TABLE, EQUATION = 0x13, 0x15, 0x1A, 0x4D, 0x58
+_NOTES = {"fn  ": "footnote", "en  ": "endnote", "head": "header", "foot": "footer"}
+
+
+class DocInfo:
+    """Fonts, character shapes and style names, by their order in the stream."""
+
+    def __init__(self, stream: bytes):
+        self.fonts: list[str] = []
+        self.shapes: list[dict] = []
+        self.styles: list[str] = []
+        for tag, _, payload in iter_records(stream):
+            if tag == FACE_NAME and len(payload) >= 3:
+                (n,) = struct.unpack_from("<H", payload, 1)
+                self.fonts.append(payload[3 : 3 + 2 * n].decode("utf-16-le", "replace"))
+            elif tag == CHAR_SHAPE and len(payload) >= 56:
+                size, bits = struct.unpack_from("<iI", payload, 42)
+                red, green, blue = payload[52:55]
+                color = f"#{red:02x}{green:02x}{blue:02x}"
+                flag = lambda at, mask=1, b=bits: True if b >> at & mask else None
+                self.shapes.append(
+                    {
+                        "italic": flag(0), "bold": flag(1), "underline": flag(2, 3), "superscript": flag(15), "subscript": flag(16), "strike": flag(18, 7),
+                        "size": size / 100.0, "color": None if color == "#000000" else color, "face": struct.unpack_from("<H", payload)[0],
+                    }
+                )
+            elif tag == STYLE and len(payload) >= 2:
+                (n,) = struct.unpack_from("<H", payload)
+                self.styles.append(payload[2 : 2 + 2 * n].decode("utf-16-le", "replace"))
+
+    def style_of(self, number: int) -> dict:
+        if number >= len(self.shapes):
+            return {}
+        known = dict(self.shapes[number])
+        face = known.pop("face")
+        return known | {"font": self.fonts[face] if face < len(self.fonts) else None}
+
+    def level(self, style: int) -> int | None:
+        import re
+
+        named = re.match(r"(?:개요|Heading|Outline)\s*(\d+)", self.styles[style]) if style < len(self.styles) else None
+        return max(1, min(6, int(named[1]))) if named else None
+
+
+def _runs(text: bytes, shapes: bytes, info: DocInfo) -> list[dict]:
+    """Inlines of a paragraph: each stretch of text has the shape of the last position at or before it."""
+    from ..model import inline
+
+    marks = [struct.unpack_from("<II", shapes, i) for i in range(0, len(shapes) - 7, 8)] or [(0, 1 << 31)]
+    out = []
+    for k, (start, shape) in enumerate(marks):
+        end = marks[k + 1][0] if k + 1 < len(marks) else len(text) // 2
+        said = plain_text(text[2 * start : 2 * end])
+        if said:
+            out.append(inline(text=said, **info.style_of(shape)))
+    return out
+
+
+def _blocks(records: list[tuple[int, int, bytes]], start: int, end: int, info: DocInfo, ids) -> list:
+    """Blocks of the paragraphs among ``records[start:end]``; deeper records belong to the paragraph before them."""
+    from ..model import Node
+
+    out, i = [], start
+    while i < end:
+        tag, level, payload = records[i]
+        stop = i + 1
+        while stop < end and records[stop][1] > level:
+            stop += 1
+        if tag == PARA_HEADER:
+            text = next((p for t, v, p in records[i + 1 : stop] if t == PARA_TEXT and v == level + 1), b"")
+            shapes = next((p for t, v, p in records[i + 1 : stop] if t == PARA_CHAR_SHAPE and v == level + 1), b"")
+            inlines = _runs(text, shapes, info)
+            heading = info.level(payload[10]) if len(payload) > 10 else None
+            extra = []
+            for k in range(i + 1, stop):
+                if records[k][0] == CTRL_HEADER and records[k][1] == level + 1:
+                    last = k + 1
+                    while last < stop and records[last][1] > level + 1:
+                        last += 1
+                    extra += _control(records, k, last, info, ids)
+            if heading and inlines:
+                out.append(Node("heading", ids(), level=heading, text="".join(x["text"] for x in inlines), inlines=inlines))
+            elif inlines or not extra:
+                out.append(Node("paragraph", ids(), inlines=inlines))
+            out += extra
+        i = stop
+    return out
+
+
+def _control(records, at: int, end: int, info: DocInfo, ids) -> list:
+    from ..functions.script import script_to_latex
+    from ..model import Node
+
+    kind, level = control_id(records[at][2]), records[at][1]
+    lists = [k for k in range(at + 1, end) if records[k][0] == LIST_HEADER and records[k][1] == level + 1]
+    bounds = list(zip(lists, [*lists, end][1:], strict=True)) if lists else []
+    if kind == "tbl ":
+        table, rows = Node("table", ids()), {}
+        for first, last in bounds:
+            payload = records[first][2]
+            if len(payload) < 16:
+                continue
+            column, row, columns, height = struct.unpack_from("<HHHH", payload, 8)
+            cell = Node("table_cell", ids(), kind="table_cell", row_span=max(1, height), col_span=max(1, columns))
+            for block in _blocks(records, first + 1, last, info, ids) or [Node("paragraph", ids(), inlines=[])]:
+                cell.add(block, "content")
+            rows.setdefault(row, []).append((column, cell))
+        for row in sorted(rows):
+            made = Node("table_row", None, kind="table_row")
+            for _, cell in sorted(rows[row], key=lambda x: x[0]):
+                made.add(cell, "cells")
+            table.add(made, "rows")
+        return [table]
+    if kind == "eqed":
+        payload = next((p for t, _, p in records[at + 1 : end] if t == EQUATION), b"")
+        if len(payload) >= 6:
+            (n,) = struct.unpack_from("<H", payload, 4)
+            script = payload[6 : 6 + 2 * n].decode("utf-16-le", "replace")
+            return [Node("equation", ids(), text=script_to_latex(script), attrs={"hwp_script": script})]
+        return []
+    if kind in _NOTES or (kind == "gso " and bounds):
+        node = Node(_NOTES.get(kind, "text_box"), ids())
+        for first, last in bounds:
+            for block in _blocks(records, first + 1, last, info, ids):
+                node.add(block, "content")
+        return [node]
+    return [Node("drawing", ids())] if kind == "gso " else []
+
+
+def parse_hwp(content: bytes, ids=None) -> list:
+    """Blocks of an HWP 5 file: paragraphs, headings by style, tables, notes, heads and feet, equations, text boxes."""
+    from ..model import Ids
+    from .ole import CompoundFile
+
+    file, ids = CompoundFile(content), ids or Ids()
+    head = file.read("FileHeader")
+    flags = struct.unpack_from("<I", head, 36)[0] if len(head) >= 40 else 0
+    if flags & 2:
+        raise ValueError("the document is encrypted")
+    info = DocInfo(inflated(file.read("DocInfo"), bool(flags & 1)))
+    names = sorted((n for n in file.streams if n.startswith("BodyText/Section")), key=lambda n: int(n.removeprefix("BodyText/Section") or 0))
+    out = []
+    for name in names:
+        records = list(iter_records(inflated(file.read(name), bool(flags & 1))))
+        out += _blocks(records, 0, len(records), info, ids)
+    return out

@@ -10,13 +10,15 @@ from ..builder import parse_json
 from ..model import NODES, Node, rows_of
 from .docx import parse_docx
 from .html import parse_html
+from .hwp import parse_hwp
 from .hwpx import parse_hwpx
+from .pdf import parse_pdf
 from .markdown import parse_markdown
 from .registry import format_of
 from .xml import parse_xml
 
-PARSERS = {"md": parse_markdown, "html": parse_html, "xml": parse_xml, "docx": parse_docx, "hwpx": parse_hwpx, "json": parse_json}
-BINARY = ("docx", "hwpx")
+PARSERS = {"md": parse_markdown, "html": parse_html, "xml": parse_xml, "docx": parse_docx, "hwp": parse_hwp, "hwpx": parse_hwpx, "pdf": parse_pdf, "json": parse_json}
+BINARY = ("docx", "hwp", "hwpx", "pdf")
 #: Nodes handed to Spark at once.
 BATCH = 5_000
 

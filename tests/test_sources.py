@@ -159,3 +159,99 @@ def test_hwp_records():
     assert [(t, v, len(p)) for t, v, p in hwp.iter_records(stream)] == [(hwp.PARA_HEADER, 0, 24), (hwp.PARA_TEXT, 1, 5000)]
     tab = "a".encode("utf-16-le") + b"\x09\x00" + bytes(14) + "b😀\r z".encode("utf-16-le")
     assert hwp.plain_text(tab) == "a\tb😀" and hwp.control_id(b" lbt") == "tbl "
+
+
+def compound_file(streams):
+    """A compound file with all streams in regular sectors."""
+    import struct
+
+    names, entries, sectors, fat = ["Root Entry", "BodyText"], [], [], []
+
+    def chain(data):
+        first = len(sectors)
+        parts = [data[i : i + 512].ljust(512, b"\0") for i in range(0, max(1, len(data)), 512)]
+        sectors.extend(parts)
+        fat.extend([first + k + 1 for k in range(len(parts) - 1)] + [0xFFFFFFFE])
+        return first
+
+    def entry(name, kind, left=0xFFFFFFFF, right=0xFFFFFFFF, child=0xFFFFFFFF, start=0xFFFFFFFE, size=0):
+        raw = name.encode("utf-16-le") + b"\0\0"
+        return raw.ljust(64, b"\0") + struct.pack("<HBBIII", len(raw), kind, 1, left, right, child) + bytes(36) + struct.pack("<IQ", start, size)
+
+    del names
+    top = [n for n in streams if "/" not in n]
+    body = [n for n in streams if "/" in n]
+    order = top + body
+    place = {n: 2 + k for k, n in enumerate(order)}
+    starts = {n: chain(streams[n]) for n in order}
+    siblings = {n: place[g[k + 1]] if k + 1 < len(g) else 0xFFFFFFFF for g in (top, body) for k, n in enumerate(g)}
+    entries.append(entry("Root Entry", 5, child=1))
+    entries.append(entry("BodyText", 1, right=place[top[0]], child=place[body[0]]))
+    entries += [entry(n.rpartition("/")[2], 2, right=siblings[n], start=starts[n], size=len(streams[n])) for n in order]
+    directory = chain(b"".join(entries))
+    where = len(sectors)
+    fat.append(0xFFFFFFFD)
+    table = struct.pack(f"<{len(fat)}I", *fat).ljust(512, b"\xff")
+    head = bytes.fromhex("d0cf11e0a1b11ae1") + bytes(16) + struct.pack("<HHHHH", 62, 3, 0xFFFE, 9, 6) + bytes(10)
+    head += struct.pack("<IIIIIIIII", 1, directory, 0, 0, 0xFFFFFFFE, 0, 0xFFFFFFFE, 0, where)
+    return head.ljust(512, b"\xff") + b"".join(sectors) + table
+
+
+def test_hwp_file():
+    import struct
+    import zlib
+
+    from docloom.sources import hwp
+
+    def deflated(data):
+        c = zlib.compressobj(9, zlib.DEFLATED, -15)
+        return c.compress(data) + c.flush()
+
+    def word(text):
+        return struct.pack("<H", len(text)) + text.encode("utf-16-le")
+
+    def paragraph(level, text, style=0, shapes=((0, 0),)):
+        body = text.encode("utf-16-le") + b"\r\0"
+        head = struct.pack("<IIHBBHHHI", len(body) // 2, 0, 0, style, 0, len(shapes), 0, 0, 0)
+        return hwp.make_record(hwp.PARA_HEADER, level, head) + hwp.make_record(hwp.PARA_TEXT, level + 1, body) + hwp.make_record(hwp.PARA_CHAR_SHAPE, level + 1, b"".join(struct.pack("<II", *s) for s in shapes))
+
+    shape = lambda bits, color: bytes(42) + struct.pack("<iI", 1200, bits) + bytes(2) + color + bytes(18)
+    info = hwp.make_record(hwp.FACE_NAME, 0, b"\0" + word("Batang")) + hwp.make_record(hwp.CHAR_SHAPE, 0, shape(0, bytes(4))) + hwp.make_record(hwp.CHAR_SHAPE, 0, shape(2, b"\xff\0\0\0"))
+    info += hwp.make_record(hwp.STYLE, 0, word("Normal")) + hwp.make_record(hwp.STYLE, 0, word("개요 2"))
+    cell = lambda c, r, text: hwp.make_record(hwp.LIST_HEADER, 2, struct.pack("<IIHHHH", 1, 0, c, r, 1, 1) + bytes(20)) + paragraph(2, text)
+    holder = hwp.make_record(hwp.PARA_HEADER, 0, bytes(24)) + hwp.make_record(hwp.CTRL_HEADER, 1, b" lbt") + hwp.make_record(hwp.TABLE, 2, bytes(8)) + cell(0, 0, "a") + cell(1, 0, "b") + cell(0, 1, "c")
+    holder += hwp.make_record(hwp.CTRL_HEADER, 1, b"deqe") + hwp.make_record(hwp.EQUATION, 2, bytes(4) + word("a over b"))
+    section = paragraph(0, "Title", 1) + paragraph(0, "plain red", 0, ((0, 0), (6, 1))) + holder
+    content = compound_file({"FileHeader": b"HWP Document File".ljust(36, b"\0") + struct.pack("<I", 1), "DocInfo": deflated(info), "BodyText/Section0": deflated(section)})
+    blocks = hwp.parse_hwp(content)
+    assert [b.type for b in blocks] == ["heading", "paragraph", "table", "equation"]
+    assert (blocks[0].level, blocks[0].text) == (2, "Title")
+    assert [(i["text"], i["bold"], i["color"], i["font"]) for i in blocks[1].inlines] == [("plain ", None, None, "Batang"), ("red", True, "#ff0000", "Batang")]
+    assert [[c.children[0].inlines[0]["text"] for c in r.children] for r in blocks[2].children] == [["a", "b"], ["c"]]
+    assert blocks[3].text == "\\frac{a}{b}"
+
+
+def pdf_file(pages):
+    import zlib
+
+    kids = b" ".join(b"%d 0 R" % (5 + 2 * i) for i in range(len(pages)))
+    objects = [b"<< /Type /Catalog /Pages 2 0 R >>", b"<< /Type /Pages /Kids [" + kids + b"] >>", b"<< /Type /Font /BaseFont /Helvetica >>", b"<< /Type /Font /BaseFont /Helvetica-Bold >>"]
+    for page in pages:
+        data = zlib.compress(page)
+        objects.append(b"<< /Type /Page /Resources << /Font << /F1 3 0 R /F2 4 0 R >> >> /Contents %d 0 R >>" % (len(objects) + 2))
+        objects.append(b"<< /Length %d /Filter /FlateDecode >>\nstream\n" % len(data) + data + b"\nendstream")
+    return b"%PDF-1.4\n" + b"".join(b"%d 0 obj\n%s\nendobj\n" % (i, o) for i, o in enumerate(objects, 1))
+
+
+def test_pdf(spark):
+    from docloom.operators import layout
+    from docloom.sources.pdf import parse_pdf, pdf_spans
+
+    text = b"BT /F1 9 Tf 72 780 Td (running head) Tj ET BT /F1 24 Tf 72 700 Td (Title \\(%d\\)) Tj ET BT /F1 12 Tf 72 660 Td (the first line of text) Tj 0 -20 Td [(sec) -300 (ond)] TJ T* 14 TL /F2 12 Tf T* <626f6c64> Tj /F1 12 Tf T* (1. item) Tj T* (2. next) Tj ET"
+    content = pdf_file([text % 1, text % 2])
+    kinds = [(b.type, b.level, b.text) for b in parse_pdf(content)]
+    assert kinds == [("heading", 1, "Title (1)"), ("paragraph", None, None), ("paragraph", None, None), ("heading", 4, "bold"), ("list", None, None), ("heading", 1, "Title (2)"), ("paragraph", None, None), ("paragraph", None, None), ("heading", 4, "bold"), ("list", None, None)]
+    spans = pdf_spans(spark.createDataFrame([(1, content), (2, None), (3, b"%PDF junk")], "doc_id long, content binary"))
+    rows = layout.blocks(spans, 792.0).orderBy("page", "line").collect()
+    assert [r["type"] for r in rows] == ["heading", "paragraph", "paragraph", "heading", "list", "list"] * 2
+    assert rows[2]["text"] == "sec ond" and rows[4]["text"] == "item"
