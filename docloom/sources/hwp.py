@@ -80,9 +80,9 @@ def records_of(streams: DataFrame, stream: str = "stream") -> DataFrame:
     return streams.where(F.col(stream).isNotNull()).select("doc_id", F.col(stream).alias("s")).mapInPandas(run, RECORDS)
 
 
-def _u32(payload, at: int):
-    """A little-endian number at a byte of a payload."""
-    part = F.reverse(F.hex(F.substring(payload, at + 1, 4)))
+def _u32(payload, at):
+    """A little-endian number at a byte of a payload; ``at`` is a number or a column."""
+    part = F.reverse(F.hex(F.substring(payload, (at if not isinstance(at, int) else F.lit(at)) + 1, F.lit(4))))
     # hex pairs reversed as text are reversed nibbles; turn each pair back
     pairs = F.regexp_replace(part, "(.)(.)", "$2$1")
     return F.conv(pairs, 16, 10).cast("long")
@@ -269,3 +269,38 @@ def parse_hwp(content: bytes, ids=None) -> list:
         records = list(iter_records(inflated(file.read(name), bool(flags & 1))))
         out += _blocks(records, 0, len(records), info, ids)
     return out
+
+
+def id_mapping_counts(records: DataFrame) -> DataFrame:
+    """Rule I1 on document information: resources declared by ID_MAPPINGS against records of their tags.
+
+    Returns doc_id, tag, declared, actual for the kinds that differ. Fixed values: the order of the counts.
+    """
+    kinds = [(0, 0x12), (8, 0x14), (9, 0x15), (10, 0x16), (11, 0x17), (12, 0x18), (13, 0x19), (14, 0x1A)]
+    declared = records.where("tag = 17").select("doc_id", F.explode(F.array(*[F.struct(F.lit(tag).alias("tag"), _u32(F.col("payload"), 4 * at).alias("declared")) for at, tag in kinds])).alias("k"))
+    declared = declared.select("doc_id", "k.tag", "k.declared").where("declared is not null")
+    actual = records.groupBy("doc_id", "tag").agg(F.count(F.lit(1)).alias("actual"))
+    both = declared.join(actual, ["doc_id", "tag"], "left").withColumn("actual", F.coalesce("actual", F.lit(0)))
+    return both.where("declared <> actual")
+
+
+def record_order(records: DataFrame) -> DataFrame:
+    """Rule I11: records of document information whose tag is smaller than the one before, at the top level."""
+    from pyspark.sql.window import Window
+
+    top = records.where("level = 0 and tag between 16 and 26")
+    before = F.lag("tag").over(Window.partitionBy("doc_id").orderBy("seq"))
+    return top.withColumn("before", before).where("tag < before").select("doc_id", "seq", "tag", "before")
+
+
+def character_shape_bounds(records: DataFrame) -> DataFrame:
+    """Rule R4: character shapes that begin behind the end of their paragraph's text."""
+    from pyspark.sql.window import Window
+
+    order = Window.partitionBy("doc_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    numbered = records.withColumn("para", F.sum((F.col("tag") == PARA_HEADER).cast("int")).over(order))
+    text = numbered.where(F.col("tag") == PARA_TEXT).groupBy("doc_id", "para").agg(F.max(F.floor(F.col("size") / 2)).alias("signs"))
+    pairs = F.sequence(F.lit(0), F.floor(F.col("size") / 8).cast("int") - 1)
+    shapes = numbered.where((F.col("tag") == PARA_CHAR_SHAPE) & (F.col("size") >= 8)).select("doc_id", "para", "payload", F.explode(pairs).alias("k"))
+    at = shapes.select("doc_id", "para", _u32(F.col("payload"), F.col("k") * 8).alias("position"))
+    return at.join(text, ["doc_id", "para"]).where("position >= signs").select("doc_id", "para", "position", "signs")

@@ -113,3 +113,27 @@ def test_equation_scripts():
     cases = {"a over b": "\\frac{a}{b}", "ALPHA^2": "\\Alpha^{2}", "root 3 of x": "\\sqrt[3]{x}", "pmatrix{a & b # c & d}": "\\begin{pmatrix}a & b \\\\ c & d\\end{pmatrix}", "": "", 'x <= "if" y': "x \\leq \\text{if} y", "left ( a right )": "\\left( a \\right)"}
     for script, latex in cases.items():
         assert script_to_latex(script) == latex
+
+
+def test_migration_round_trip(spark):
+    from docloom.migration import v1_to_v2, v2_to_v1
+
+    old = spark.createDataFrame([("chart", "12.0pt", "160%", "percent", "#AABBCC"), ("paragraph", "10mm", "20pt", "fixed", "red"), ("paragraph", "wide", None, None, None)], "type string, width string, line_spacing string, line_spacing_type string, color string")
+    new = v1_to_v2(old).collect()
+    assert [r["width"] for r in new][0] == 12.0 and abs(new[1]["width"] - 10 / 0.352778) < 1e-9 and new[2]["width"] is None
+    assert (new[0]["line_spacing"]["kind"], new[1]["line_spacing"]["value"], new[0]["color"], new[1]["color"]) == ("ratio", 20.0, "#aabbcc", None)
+    again = v2_to_v1(v1_to_v2(old)).collect()
+    assert [(r["type"], r["width"], r["line_spacing"]) for r in again] == [("unknown", "12.0pt", "160%"), ("paragraph", "28.3pt", "20.0pt"), ("paragraph", None, None)]
+
+
+def test_hwp_rules(spark):
+    import struct
+
+    from docloom.sources import hwp
+
+    info = hwp.make_record(17, 0, struct.pack("<15I", 0, 0, 0, 0, 0, 0, 0, 0, 0, 2, 0, 0, 0, 0, 1)) + hwp.make_record(0x15, 0, bytes(56)) + hwp.make_record(0x1A, 0, b"\0\0") + hwp.make_record(0x15, 0, bytes(56)) + hwp.make_record(0x12, 0, b"")
+    body = hwp.make_record(hwp.PARA_HEADER, 0, bytes(24)) + hwp.make_record(hwp.PARA_TEXT, 1, bytes(8)) + hwp.make_record(hwp.PARA_CHAR_SHAPE, 1, struct.pack("<IIII", 0, 0, 4, 1))
+    records = hwp.records_of(spark.createDataFrame([(1, info), (2, body), (3, None)], "doc_id long, stream binary"))
+    assert [(r["tag"], r["declared"], r["actual"]) for r in hwp.id_mapping_counts(records).collect()] == [(0x12, 0, 1)]
+    assert [(r["tag"], r["before"]) for r in hwp.record_order(records).orderBy("seq").collect()] == [(0x15, 0x1A), (0x12, 0x15)]
+    assert [(r["doc_id"], r["position"], r["signs"]) for r in hwp.character_shape_bounds(records).collect()] == [(2, 4, 4)]
