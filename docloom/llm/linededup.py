@@ -1,8 +1,8 @@
 """Line dedup by a deletion-neighbourhood join, in DataFrame functions only.
 
-Lines are compared as sequences of words. Two lines are copies when their words are equal, and
-near copies when both have at least ``MIN_WORDS`` words and one word inserted, deleted or
-replaced turns one into the other. A line goes when an equal or near line stands earlier, by
+Two lines are copies when they are equal without the white space around them, and near copies
+when both have at least ``MIN_WORDS`` words and at most one word inserted, deleted or replaced
+turns one's words into the other's. A line goes when an equal or near line stands earlier, by
 (doc_id, line number); that earlier line need not itself be kept.
 
 The neighbourhood of a line holds what is left after each single deletion, as hashed keys. A
@@ -23,18 +23,18 @@ from .common import key_filter, maybe_in, release, stored
 MIN_WORDS = 8
 
 
-def _hash(words: Column) -> Column:
-    return F.xxhash64(words)
+def _words(text: Column) -> Column:
+    return F.array_remove(F.split(F.translate(text, "\t\r", "  "), " "), "")
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """One row per line with its place ``at``, its words and their 128-bit hash."""
+    """One row per line with its place ``at``, its text and the text's 128-bit hash."""
     rows = docs.select("doc_id", F.xxhash64("text").alias("row"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "line"))
     trimmed = F.trim(F.col("line"), F.lit(" \t\r"))
     return (
         rows.where(trimmed != "")
-        .select(F.struct("doc_id", "row", "line_no").alias("at"), F.split(trimmed, "[ \t\r]+").alias("words"))
-        .withColumns({"h1": _hash(F.col("words")), "h2": F.xxhash64(F.lit(1), F.col("words")), "n": F.size("words")})
+        .select(F.struct("doc_id", "row", "line_no").alias("at"), trimmed.alias("said"))
+        .withColumns({"h1": F.xxhash64("said"), "h2": F.xxhash64(F.lit(1), "said")})
     )
 
 
@@ -49,14 +49,15 @@ def _half_keys() -> Column:
 
 
 def duplicate_lines(docs: DataFrame) -> DataFrame:
-    """The lines that go: doc_id, row, line_no, the earlier line kept_doc_id, kept_line_no, and edits (0 or 1).
+    """The lines that go: doc_id, row, line_no, the earlier line kept_doc_id, kept_line_no, and near (0 for a copy, else 1).
 
     ``row`` is the hash of the row's text: rows that repeat both id and text count as one
     document. A null text has no lines, blank lines always stay, a null doc_id comes first, and
     an empty table gives no rows. Other columns of ``docs`` are not read.
     """
     docs = docs.select("doc_id", "text")
-    base = stored(_lines(docs).withColumn("halves", _half_keys()).drop("words"), "lines")
+    base = _lines(docs).withColumn("words", _words(F.col("said"))).withColumn("n", F.size("words"))
+    base = stored(base.withColumn("halves", _half_keys()).drop("words", "said"), "lines")
     distinct = stored(
         base.groupBy("h1", "h2").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("copies"), F.any_value("n").alias("n"), F.any_value("halves").alias("halves")),
         "distinct-lines",
@@ -67,7 +68,8 @@ def duplicate_lines(docs: DataFrame) -> DataFrame:
     suspects = stored(distinct.join(suspects, "h1", "left_semi").select("h1", "h2", "n", "first"), "suspect-lines")
 
     # Their words, from the place where each stands first; the filter spares the others a shuffle.
-    again = maybe_in(_lines(docs).select("at", "words", "h1"), F.col("h1"), key_filter(suspects, "h1")).drop("h1")
+    again = maybe_in(_lines(docs).select("at", "said", "h1"), F.col("h1"), key_filter(suspects, "h1")).drop("h1")
+    again = again.withColumn("words", _words(F.col("said")))
     texts = stored(again.dropDuplicates(["at"]).join(suspects, again["at"] == suspects["first"]).select("h1", "h2", "n", "first", "words"), "suspect-words")
 
     near = _replaced(texts).unionByName(_inserted(texts))
@@ -78,10 +80,10 @@ def duplicate_lines(docs: DataFrame) -> DataFrame:
     )
     gone = base.select("at", "h1", "h2").join(known, ["h1", "h2"]).where((F.col("at") != F.col("first")) | F.col("earlier").isNotNull())
     kept = F.when(F.col("at") != F.col("first"), F.col("first")).otherwise(F.col("earlier"))
-    result = gone.select("at.*", kept.alias("kept"), (F.col("at") == F.col("first")).cast("int").alias("edits"))
+    result = gone.select("at.*", kept.alias("kept"), (F.col("at") == F.col("first")).cast("int").alias("near"))
     for table in (suspects, texts, near):
         release(table)
-    return result.select("doc_id", "row", F.col("line_no").cast("long").alias("line_no"), F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.line_no").cast("long").alias("kept_line_no"), "edits")
+    return result.select("doc_id", "row", F.col("line_no").cast("long").alias("line_no"), F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.line_no").cast("long").alias("kept_line_no"), "near")
 
 
 def _replaced(texts: DataFrame) -> DataFrame:
@@ -98,7 +100,7 @@ def _replaced(texts: DataFrame) -> DataFrame:
     other = words.select(F.col("h1").alias("o1"), F.col("h2").alias("o2"), F.col("words").alias("others"))
     both = found.join(words, ["h1", "h2"]).join(other, (F.col("e.h1") == F.col("o1")) & (F.col("e.h2") == F.col("o2")))
     edits = F.size(F.filter(F.zip_with("words", "others", lambda a, b: a != b), lambda x: x))
-    return both.where(edits == 1).select("h1", "h2", F.col("e.first").alias("earlier"))
+    return both.where(edits <= 1).select("h1", "h2", F.col("e.first").alias("earlier"))
 
 
 def _inserted(texts: DataFrame) -> DataFrame:
@@ -108,10 +110,10 @@ def _inserted(texts: DataFrame) -> DataFrame:
     rests = bags.where(F.col("n") > MIN_WORDS).select("h1", "h2", (F.col("n") - 1).alias("m"), F.posexplode("hs").alias("i", "h"), "all").select(
         "h1", "h2", "m", "i", F.col("all").bitwiseXOR(F.col("h")).alias("rest")
     )
-    whole = bags.select(F.col("n").alias("m"), F.col("all").alias("rest"), F.col("h1").alias("s1"), F.col("h2").alias("s2"), F.col("first").alias("short"))
+    whole = bags.select(F.col("n").alias("m"), F.col("all").alias("rest"), F.col("h1").alias("s1"), F.col("h2").alias("s2"), F.xxhash64("words").alias("w1"), F.xxhash64(F.lit(1), "words").alias("w2"), F.col("first").alias("short"))
     pairs = rests.join(whole, ["m", "rest"]).join(texts.select("h1", "h2", "words", "first"), ["h1", "h2"])
     left = F.concat(F.slice("words", F.lit(1), F.col("i")), F.slice("words", F.col("i") + 2, F.col("m")))
-    pairs = pairs.where((_hash(left) == F.col("s1")) & (F.xxhash64(F.lit(1), left) == F.col("s2")))
+    pairs = pairs.where((F.xxhash64(left) == F.col("w1")) & (F.xxhash64(F.lit(1), left) == F.col("w2")))
     longer_goes = F.col("short") < F.col("first")
     return pairs.select(
         F.when(longer_goes, F.col("h1")).otherwise(F.col("s1")).alias("h1"),

@@ -146,25 +146,25 @@ FROM placed"""
 _LINES_SQL = r"""
 WITH split AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents WHERE text IS NOT NULL),
 lines AS (
-    SELECT doc_id, line_no, string_split_regex(trim(line, ' ' || chr(9) || chr(13)), '[ \t\r]+') AS words
+    SELECT doc_id, line_no, trim(line, ' ' || chr(9) || chr(13)) AS said, string_split_regex(trim(line, ' ' || chr(9) || chr(13)), '[ \t\r]+') AS words
     FROM split WHERE trim(line, ' ' || chr(9) || chr(13)) <> ''
-), kinds AS (SELECT words, array_to_string(words, ' ') AS whole, len(words) AS n, min({'d': doc_id, 'l': line_no}) AS first FROM lines GROUP BY words),
+), kinds AS (SELECT said, any_value(words) AS words, array_to_string(any_value(words), ' ') AS whole, len(any_value(words)) AS n, min({'d': doc_id, 'l': line_no}) AS first FROM lines GROUP BY said),
 rests AS (
-    SELECT whole, n, first, i, array_to_string(list_concat(words[:i - 1], words[i + 1:]), ' ') AS rest
+    SELECT said, whole, n, first, i, array_to_string(list_concat(words[:i - 1], words[i + 1:]), ' ') AS rest
     FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM kinds WHERE n >= 8)
 ), near AS (
-    SELECT a.whole, min(b.first) AS earlier FROM rests a JOIN rests b ON a.n = b.n AND a.i = b.i AND a.rest = b.rest AND b.first < a.first GROUP BY a.whole
+    SELECT a.said, min(b.first) AS earlier FROM rests a JOIN rests b ON a.n = b.n AND a.i = b.i AND a.rest = b.rest AND b.first < a.first GROUP BY a.said
     UNION ALL
-    SELECT a.whole, min(k.first) FROM rests a JOIN kinds k ON a.rest = k.whole AND k.n = a.n - 1 AND k.n >= 8 AND k.first < a.first GROUP BY a.whole
+    SELECT a.said, min(k.first) FROM rests a JOIN kinds k ON a.rest = k.whole AND k.n = a.n - 1 AND k.n >= 8 AND k.first < a.first GROUP BY a.said
     UNION ALL
-    SELECT k.whole, min(a.first) FROM rests a JOIN kinds k ON a.rest = k.whole AND k.n = a.n - 1 AND k.n >= 8 AND a.first < k.first GROUP BY k.whole
-), earliest AS (SELECT whole, min(earlier) AS earlier FROM near GROUP BY whole),
+    SELECT k.said, min(a.first) FROM rests a JOIN kinds k ON a.rest = k.whole AND k.n = a.n - 1 AND k.n >= 8 AND a.first < k.first GROUP BY k.said
+), earliest AS (SELECT said, min(earlier) AS earlier FROM near GROUP BY said),
 judged AS (
     SELECT l.doc_id, l.line_no, l.doc_id IS NOT DISTINCT FROM k.first.d AND l.line_no = k.first.l AS is_first, k.first, e.earlier
-    FROM lines l JOIN kinds k ON l.words = k.words LEFT JOIN earliest e ON e.whole = k.whole
+    FROM lines l JOIN kinds k ON l.said = k.said LEFT JOIN earliest e ON e.said = k.said
 )
 SELECT doc_id, line_no, CASE WHEN is_first THEN earlier.d ELSE first.d END AS kept_doc_id,
-    CASE WHEN is_first THEN earlier.l ELSE first.l END AS kept_line_no, is_first::INTEGER AS edits
+    CASE WHEN is_first THEN earlier.l ELSE first.l END AS kept_line_no, is_first::INTEGER AS near
 FROM judged WHERE NOT is_first OR earlier IS NOT NULL"""
 
 _JOIN_SQL = r"""
