@@ -231,7 +231,7 @@ def simplified(b: Node) -> dict | None:
     return {k: v for k, v in out.items() if v is not None}
 
 
-def to_json(blocks: list[Node], source_format: str = "udf") -> str:
+def to_json(blocks: list[Node], source_format: str = "docloom") -> str:
     made = [s for s in map(simplified, blocks) if s is not None]
     return json.dumps({"source_format": source_format, "blocks": made}, ensure_ascii=False, separators=(",", ":"))
 
