@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import partitions, stored
+from .common import partitions, small_batches, stored
 from .words import TextEncoder, word_pieces
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -222,6 +222,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: in
         columns = list(zip(*rows, strict=True)) or [[] for _ in names]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _PIECES + ", ids array<long>" * with_ids)
 
 

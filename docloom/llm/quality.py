@@ -15,12 +15,14 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, segment_hash, segment_sums, stored, utf8_buffer
+from .common import mix64, segment_hash, segment_sums, small_batches, stored, utf8_buffer
 
 SLOTS, WIDTH, NONZERO = 1 << 14, 32, 4
 #: Labelled rows that the network is fitted on, at most: those with the smallest hashes of their ids.
 SAMPLE = 20_000
 CHUNK_BYTES = 1 << 20
+#: Context sums travel in blocks of so many slots; vectors are gathered for so many tokens at once.
+BLOCK_SLOTS, GATHERED = 256, 1 << 14
 
 _KIND = np.zeros(256, np.uint8)  # 0 white space, 1 letters and digits, 2 other signs
 _KIND[33:127] = 2
@@ -70,7 +72,7 @@ def token_slots(column):
 
 
 def context_sums(batches):
-    """One row per slot that a task has met: the sum of its neighbours' index vectors."""
+    """For each block of slots, the sums of the neighbours' index vectors over a task."""
     import pyarrow as pa
 
     places, signs = _index_vectors()
@@ -83,19 +85,33 @@ def context_sums(batches):
             left, right = slots[:-1][inside], slots[1:][inside]
             for at, other in ((left, right), (right, left)):
                 sums += np.bincount((at[:, None] * WIDTH + places[other]).ravel(), signs[other].ravel(), SLOTS * WIDTH)
-    rows = sums.reshape(SLOTS, WIDTH)
-    met = np.flatnonzero(rows.any(axis=1))
-    slot = pa.array(np.repeat(met, WIDTH), pa.int32())
-    yield pa.RecordBatch.from_arrays([slot, pa.array(np.tile(np.arange(WIDTH), len(met)), pa.int32()), pa.array(rows[met].ravel())], names=["slot", "part", "value"])
+    yield _blocks_of(sums.astype(np.float32).reshape(-1, BLOCK_SLOTS * WIDTH), range(SLOTS // BLOCK_SLOTS))
+
+
+def _blocks_of(rows, numbers):
+    import pyarrow as pa
+
+    return pa.RecordBatch.from_arrays([pa.array(list(numbers), pa.int32()), pa.array([r.tobytes() for r in rows], pa.binary())], names=["block", "sums"])
+
+
+def _added(batches):
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for block, sums in zip(batch.column("block").to_pylist(), batch.column("sums").to_pylist(), strict=True):
+            total[block] = total.get(block, 0) + np.frombuffer(sums, "<f4").astype(float)
+    yield _blocks_of((total[k].astype(np.float32) for k in sorted(total)), sorted(total))
 
 
 def corpus_contexts(docs: DataFrame) -> np.ndarray:
     """The context vectors of all slots over all documents (a fixed SLOTS x WIDTH matrix), of unit length."""
-    sums = docs.select("text").mapInArrow(context_sums, "slot int, part int, value double").groupBy("slot", "part").agg(F.sum("value").alias("value"))
-    found = sums.toPandas()  # SLOTS * WIDTH rows at most
-    out = np.zeros((SLOTS, WIDTH), np.float32)
-    out[found["slot"], found["part"]] = found["value"]
-    return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-6)
+    small_batches(docs.sparkSession)
+    blocks = SLOTS // BLOCK_SLOTS
+    schema = "block int, sums binary"
+    sums = docs.select("text").mapInArrow(context_sums, schema).repartition(blocks, "block").mapInArrow(_added, schema)
+    out = np.zeros((SLOTS, WIDTH))
+    for row in sums.collect():  # a block each, 2 MB in all
+        out[row["block"] * BLOCK_SLOTS : (row["block"] + 1) * BLOCK_SLOTS] += np.frombuffer(row["sums"], "<f4").reshape(-1, WIDTH)
+    return (out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-6)).astype(np.float32)
 
 
 def pooled(column, vectors: np.ndarray) -> np.ndarray:
@@ -104,9 +120,11 @@ def pooled(column, vectors: np.ndarray) -> np.ndarray:
     for slots, borders, size, lines, capitals, signs in token_slots(column):
         n = np.diff(borders)
         sums = np.zeros((len(n), vectors.shape[1]))
-        full = np.flatnonzero(n)
-        if len(full):
-            sums[full] = np.add.reduceat(vectors[slots], borders[:-1][full], axis=0, dtype=np.float64)
+        owner = np.repeat(np.arange(len(n)), n)
+        for i in range(0, len(slots), GATHERED):
+            own = owner[i : i + GATHERED]
+            heads = np.flatnonzero(np.diff(own, prepend=-1))
+            sums[own[heads]] += np.add.reduceat(vectors[slots[i : i + GATHERED]], heads, axis=0)
         mean = sums / np.maximum(n, 1)[:, None]
         length = np.maximum(size, 1)
         shape = np.stack([np.log1p(n), np.log1p(size), np.log1p(lines), n / length, lines / length, capitals / length, signs / length], axis=1)
@@ -219,6 +237,7 @@ def score_quality(docs: DataFrame, model: QualityModel, threshold: float = 0.3,
     Only the text is an input of the score. Null and empty texts are scored as texts without
     tokens; null ids and repeated rows are kept; an empty table gives no rows.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a fixed size: SLOTS x 2 WIDTH numbers
 
     def run(batches):
