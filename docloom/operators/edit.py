@@ -9,6 +9,10 @@ from pyspark.sql.window import Window
 from ..model import INLINE_NAMES, NODES
 
 
+#: Levels of nesting that an edited document may have.
+DEPTHS = 32
+
+
 def renumber(nodes: DataFrame, order: list[Column]) -> DataFrame:
     """Gives nodes new ``seq``, ``seq_end``, ``parent_seq`` and ``ord`` after an edit.
 
@@ -19,9 +23,11 @@ def renumber(nodes: DataFrame, order: list[Column]) -> DataFrame:
     placed = nodes.withColumn("_new", (F.row_number().over(document.orderBy(*order)) - 1).cast("int"))
     parents = placed.select(F.col("doc_id").alias("_d"), F.col("seq").alias("_old"), F.col("_new").alias("_parent"))
     linked = placed.join(parents, placed["doc_id"].eqNullSafe(F.col("_d")) & (placed["parent_seq"] == F.col("_old")), "left").drop("_d", "_old")
-    # A subtree ends before the next node that is not deeper: the next one of a smaller or equal depth.
-    following = document.orderBy("_new").rowsBetween(1, Window.unboundedFollowing)
-    after = F.array_min(F.transform(F.filter(F.collect_list(F.struct("_new", "depth")).over(following), lambda x: x["depth"] <= F.col("depth")), lambda x: x["_new"]))
+    # A subtree ends before the next node that is not deeper: running minima from the end, one for each depth.
+    from_end = document.orderBy(F.desc("_new")).rowsBetween(Window.unboundedPreceding, -1)
+    after = F.when(F.col("depth") >= DEPTHS, F.raise_error(F.lit(f"a document is nested deeper than {DEPTHS} levels")).cast("int"))
+    for depth in range(DEPTHS):
+        after = after.when(F.col("depth") == depth, F.min(F.when(F.col("depth") <= depth, F.col("_new"))).over(from_end))
     ended = linked.withColumn("_end", F.coalesce(after - 1, F.max("_new").over(document)).cast("int"))
     place = F.row_number().over(Window.partitionBy("doc_id", "_parent", "slot").orderBy("_new")) - 1
     ended = ended.withColumn("_ord", place.cast("int"))
