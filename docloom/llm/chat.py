@@ -34,42 +34,44 @@ def rotate_perspectives(turns: DataFrame, system_roles: tuple[str, ...] = ("syst
         "turn",
         F.coalesce("role", F.lit("unknown")).alias("speaker"),
         _plain(F.coalesce("text", F.lit(""))).alias("text"),
+        F.coalesce(F.col("conv_id").cast("string"), F.lit("")).alias("key"),
+        F.floor(F.coalesce(F.col("turn"), F.lit(-1)) / BLOCK).cast("long").alias("block"),
     )
     is_system = F.col("speaker").isin(*system_roles)
-    views = clean.where(~is_system).select("conv_id", F.col("speaker").alias("perspective")).distinct()
     own = F.col("speaker") == F.col("perspective")
     header = (
         F.when(is_system, F.lit(f"{OPEN}system\n"))
         .when(own, F.lit(f"{OPEN}assistant\n"))
         .otherwise(F.concat(F.lit(f"{OPEN}user name="), _plain(F.regexp_replace("speaker", r"\s+", "_")), F.lit("\n")))
     )
-    seen = clean.alias("t").join(views.alias("v"), F.col("t.conv_id").eqNullSafe(F.col("v.conv_id"))).select("t.*", "perspective")
+    # Lengths of blocks, from counts by speaker; texts themselves are shuffled once, by block.
+    said = clean.groupBy("key", "block", "speaker").agg(F.count(F.lit(1)).alias("turns"), F.sum(F.length("text")).alias("signs"))
+    views = said.where(~is_system).select("key", F.col("speaker").alias("perspective")).distinct()
+    frame = F.length(header) + len(f"{CLOSE}\n")
+    blocks = said.join(views, "key").groupBy("key", "perspective", "block").agg(F.sum(F.col("signs") + F.col("turns") * frame).alias("n"))
+    earlier = Window.partitionBy("key", "perspective").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    bases = blocks.select("key", "perspective", "block", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
     seen = (
-        seen.withColumn("header", header)
+        clean.join(bases, ["key", "block"])
+        .withColumn("header", header)
         .withColumn("trained", ~is_system & own)
         .withColumn("role", F.when(is_system, "system").when(own, "assistant").otherwise("user"))
         .withColumn("rendered", F.concat("header", "text", F.lit(f"{CLOSE}\n")))
         .withColumn("n", F.length("rendered").cast("long"))
-        .withColumn("block", F.floor(F.coalesce(F.col("turn"), F.lit(-1)) / BLOCK).cast("long"))
     )
-    view = ["conv_id", "perspective"]
-    blocks = seen.groupBy(*view, "block").agg(F.sum("n").alias("n"))
-    earlier = Window.partitionBy(*view).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    bases = blocks.select(*view, "block", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
-    before = Window.partitionBy(*view, "block").orderBy("turn", "speaker", "text").rowsBetween(Window.unboundedPreceding, -1)
-    placed = seen.withColumn("inner", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    same = F.col("p.conv_id").eqNullSafe(F.col("b.conv_id")) & (F.col("p.perspective") == F.col("b.perspective")) & (F.col("p.block") == F.col("b.block"))
-    start = F.col("base") + F.col("inner")
-    return placed.alias("p").join(bases.alias("b"), same).select(
-        "p.conv_id",
-        "p.perspective",
+    before = Window.partitionBy("key", "block", "perspective").orderBy("turn", "speaker", "text").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.col("base") + F.coalesce(F.sum("n").over(before), F.lit(0))
+    placed = seen.withColumn("start_char", start.cast("long"))
+    return placed.select(
+        "conv_id",
+        "perspective",
         "turn",
         "speaker",
         "role",
         "rendered",
-        start.alias("start_char"),
-        (start + F.col("p.n")).alias("end_char"),
+        "start_char",
+        (F.col("start_char") + F.col("n")).alias("end_char"),
         "trained",
-        F.when(F.col("trained"), start + F.length("header")).alias("mask_start"),
-        F.when(F.col("trained"), start + F.col("p.n") - 1).alias("mask_end"),
+        F.when(F.col("trained"), F.col("start_char") + F.length("header")).alias("mask_start"),
+        F.when(F.col("trained"), F.col("start_char") + F.col("n") - 1).alias("mask_end"),
     )
