@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, partitions, powers, segment_hash, segment_sums
+from .common import mix64, partitions, powers, segment_hash, segment_sums, small_batches
 from .words import rows_of
 
 WINDOW, LEAST_BLOCK, LENGTH, COMMON = 7, 1, 64, 4
@@ -101,18 +101,20 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
 
     The next document is the one of the next smaller doc_id (ties by a hash of the text; null ids last), after the last the
     first. Rows are dealt by ranges of doc_id, whose borders are quantiles that the driver reads
-    (one for each shuffle partition); each range also gets the row that follows it, so a text is
+    (four for each shuffle partition); each range also gets the row that follows it, so a text is
     moved once. Null texts are empty. A single document follows itself; an empty table gives no
     rows; repeated rows follow each other. Other columns of ``docs`` are not read.
     """
     from pyspark.ml.feature import Bucketizer
 
     spark = docs.sparkSession
+    small_batches(spark)
     count = partitions(spark)
     order = F.xxhash64("text")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     ids = docs.select(F.col("doc_id").cast("double").alias("id"))
-    borders = sorted(set(ids.where("id is not null").stat.approxQuantile("id", [i / count for i in range(1, count)], 0.1 / count))) if count > 1 else []
+    ranges = 4 * count  # several to a task, so that tasks are even
+    borders = sorted(set(ids.where("id is not null").stat.approxQuantile("id", [i / ranges for i in range(1, ranges)], 0.1 / ranges)))
     splits = [float("-inf"), *borders, float("inf")]
     if len(splits) < 3:
         splits.insert(1, 0.0)
