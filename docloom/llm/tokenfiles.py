@@ -3,7 +3,7 @@
 A file holds the ids of a run of documents, one after the other, in blocks of 256 ids::
 
     magic    8 bytes
-    blocks   each: minimum u32, width u8, exceptions u8 (256 as 0 with flag 128 in width),
+    blocks   each: minimum u32, width u8, exceptions u8,
              the ids less the minimum packed at ``width`` bits,
              exceptions: places u8 each, then the bits above ``width`` as u32 each
     docs     doc_id i64 each, null flag u8 each, number of ids u32 each
@@ -25,47 +25,66 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_path, partitions, stored
+from .common import fresh_path, partitions, small_batches, stored
 from .words import TextEncoder, byte_pieces
 
 MAGIC, BLOCK, PERCENTILE = b"PFORIDS1", 256, 0.9
 _FOOTER = struct.Struct("<QQQQQ8s")
 
 
-def encode_blocks(ids: np.ndarray) -> list[bytes]:
-    """Blocks of :data:`BLOCK` ids each; the length of ``ids`` must be a multiple of it."""
+def encode_blocks(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of blocks of :data:`BLOCK` ids each, and where each starts; ``ids`` must fill whole blocks."""
     rows = ids.astype(np.uint32).reshape(-1, BLOCK)
     low = rows.min(axis=1)
     rest = rows - low[:, None]
     rank = int(np.ceil(PERCENTILE * BLOCK)) - 1
-    at = np.partition(rest, rank, axis=1)[:, rank]
-    widths = np.frompyfunc(int.bit_length, 1, 1)(at.astype(object)).astype(np.int64) if len(at) else np.zeros(0, np.int64)
-    out: list[bytes] = [b""] * len(rows)
-    for width in np.unique(widths):
+    at = np.partition(rest, rank, axis=1)[:, rank].astype(np.int64)
+    widths = np.frexp(at.astype(np.float64))[1].astype(np.int64)  # bits of the percentile: exact below 2**53
+    above = (rest.astype(np.uint64) >> widths[:, None].astype(np.uint64)).astype(np.uint32)
+    odd = above > 0
+    counts = odd.sum(axis=1)
+    sizes = 6 + BLOCK * widths // 8 + 5 * counts
+    starts = np.cumsum(sizes) - sizes
+    out = np.zeros(int(sizes.sum()), np.uint8)
+    head = np.zeros((len(rows), 6), np.uint8)
+    head[:, :4] = np.ascontiguousarray(low, "<u4").view(np.uint8).reshape(-1, 4)
+    head[:, 4], head[:, 5] = widths, counts
+    out[starts[:, None] + np.arange(6)] = head
+    for width in np.unique(widths[widths > 0]):
         chosen = np.flatnonzero(widths == width)
-        part = rest[chosen]
-        bits = np.unpackbits(np.ascontiguousarray(part, "<u4").view(np.uint8).reshape(len(chosen), BLOCK, 4), axis=2, bitorder="little")[:, :, :width]
+        bits = np.unpackbits(np.ascontiguousarray(rest[chosen], "<u4").view(np.uint8).reshape(len(chosen), BLOCK, 4), axis=2, bitorder="little", count=int(width))
         packed = np.packbits(bits.reshape(len(chosen), -1), axis=1, bitorder="little")
-        above = part >> np.uint32(width) if width < 32 else np.zeros_like(part)
-        odd = above > 0
-        for i, k in enumerate(chosen):
-            places = np.flatnonzero(odd[i])
-            head = struct.pack("<IBB", int(low[k]), int(width), len(places))
-            out[k] = head + packed[i].tobytes() + places.astype(np.uint8).tobytes() + above[i, places].astype("<u4").tobytes()
-    return out
-
-
-def decode_block(data: bytes) -> np.ndarray:
-    low, width, count = struct.unpack_from("<IBB", data)
-    size = BLOCK * width // 8
-    bits = np.zeros((BLOCK, 32), np.uint8)
-    if width:
-        bits[:, :width] = np.unpackbits(np.frombuffer(data, np.uint8, size, 6), bitorder="little").reshape(BLOCK, width)
-    values = np.packbits(bits, axis=1, bitorder="little").view("<u4").reshape(-1).astype(np.uint32)
-    if count:
-        places = np.frombuffer(data, np.uint8, count, 6 + size)
-        values[places] |= np.frombuffer(data, "<u4", count, 6 + size + count) << np.uint32(width)
-    return values + np.uint32(low)
+        out[starts[chosen][:, None] + 6 + np.arange(packed.shape[1])] = packed
+    block, place = np.nonzero(odd)
+    if len(block):
+        nth = np.arange(len(block)) - np.searchsorted(block, block)
+        base = starts[block] + 6 + BLOCK * widths[block] // 8
+        out[base + nth] = place
+        high = np.ascontiguousarray(above[block, place], "<u4").view(np.uint8).reshape(-1, 4)
+        out[(base + counts[block] + 4 * nth)[:, None] + np.arange(4)] = high
+    return out, starts
+
+
+def decode_blocks(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The ids of the blocks that begin at ``starts``."""
+    low = np.ascontiguousarray(data[starts[:, None] + np.arange(4)]).view("<u4").reshape(-1).astype(np.uint32)
+    widths, counts = data[starts + 4].astype(np.int64), data[starts + 5].astype(np.int64)
+    values = np.zeros((len(starts), BLOCK), np.uint32)
+    for width in np.unique(widths[widths > 0]):
+        chosen = np.flatnonzero(widths == width)
+        packed = data[starts[chosen][:, None] + 6 + np.arange(BLOCK * width // 8)]
+        bits = np.unpackbits(packed, axis=1, bitorder="little").reshape(len(chosen), BLOCK, width)
+        wide = np.packbits(bits, axis=2, bitorder="little")
+        full = np.zeros((len(chosen), BLOCK, 4), np.uint8)
+        full[:, :, : wide.shape[2]] = wide
+        values[chosen] = full.reshape(len(chosen), -1).view("<u4")
+    block = np.repeat(np.arange(len(starts)), counts)
+    if len(block):
+        nth = np.arange(len(block)) - np.repeat(np.cumsum(counts) - counts, counts)
+        base = starts[block] + 6 + BLOCK * widths[block] // 8
+        high = np.ascontiguousarray(data[(base + counts[block] + 4 * nth)[:, None] + np.arange(4)]).view("<u4").reshape(-1)
+        values[block, data[base + nth]] |= (high.astype(np.uint64) << widths[block].astype(np.uint64)).astype(np.uint32)
+    return (values + low[:, None]).reshape(-1)
 
 
 class Writer:
@@ -92,10 +111,11 @@ class Writer:
         if last and whole < len(data):
             data += data[-4:] * ((BLOCK * 4 - (len(data) - whole)) // 4)
             whole = len(data)
-        for block in encode_blocks(np.frombuffer(data, "<u4", whole // 4)):
-            self._starts.append(self._at)
-            self._out.write(block)
-            self._at += len(block)
+        if whole:
+            blocks, starts = encode_blocks(np.frombuffer(data, "<u4", whole // 4))
+            self._starts += (starts + self._at).tolist()
+            self._out.write(blocks.tobytes())
+            self._at += len(blocks)
         self._held, self._bytes = [data[whole:]], len(data) - whole
 
     def close(self) -> tuple[int, int]:
@@ -131,10 +151,8 @@ class Reader:
     def blocks(self, first: int, last: int) -> np.ndarray:
         """The ids of blocks ``first`` up to ``last``."""
         self._file.seek(int(self._starts[first]))
-        data = self._file.read(int(self._starts[last] - self._starts[first]))
-        cuts = self._starts[first : last + 1] - self._starts[first]
-        parts = [decode_block(data[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
-        return np.concatenate(parts) if parts else np.zeros(0, np.uint32)
+        data = np.frombuffer(self._file.read(int(self._starts[last] - self._starts[first])), np.uint8)
+        return decode_blocks(data, self._starts[first:last] - self._starts[first]) if last > first else np.zeros(0, np.uint32)
 
     def documents(self, step: int = 256):
         """(doc_id, ids as little-endian bytes) of all documents, some blocks in memory at a time."""
@@ -162,6 +180,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, folder:
     text; null texts are the end id alone; an empty table gives no files.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     folder = folder or fresh_path(spark, "token-files")
     folder = folder if "://" in folder else "file://" + folder.removeprefix("file:")
     tie = F.xxhash64("text")
