@@ -4,9 +4,10 @@
 2. A set is cut by hash range into more parts than two linked sets can differ in, so that linked
    sets agree in one part at least; the parts' hashes are signatures. Only sets that share a
    signature with another set go on. Documents that share a passage rarely agree in a whole part.
-3. Sets whose most common signature is the same form a group: near copies of one text fall into
-   few groups. A group of many tokens is split. The token-group matrix is the union of the tokens
-   of each group.
+3. A set takes the most common signature of those it shares; sets also learn the most common one
+   among the sets that share a signature with them, so near copies of one text, of whatever length,
+   form a cluster. Clusters of many tokens are parted into groups, by the sets' own signatures as
+   long as those are few. The token-group matrix is the union of the tokens of each group.
 4. A set is a query for the other groups in which one of its signatures occurs. The overlap with
    the group's union bounds the overlap with each member; only groups whose bound reaches the
    threshold are opened and their members compared exactly.
@@ -22,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import key_filter, maybe_in, mix64, partitions, segment_hash, segment_sums, stored, utf8_buffer
+from .common import key_filter, maybe_in, mix64, partitions, segment_hash, segment_sums, small_batches, stored, utf8_buffer
 from .components import connected_components
 
 _U = np.uint64
@@ -90,7 +91,9 @@ class Parts:
 
     The pair's smaller size picks the level; on a level whose largest size is m, linked sets
     differ in at most ``m * (of - least) // least`` tokens. There are ``slack`` parts more, so that
-    parts which are empty in both sets need no signature, but where a set has more empty ones.
+    parts which are empty in both sets need no signature. Sets with more empty parts than that also
+    sign their tokens of smallest hash, as many as linked sets cannot all differ in; of a linked
+    pair that shares more empty parts, both do.
     """
 
     def __init__(self, least: int, of: int):
@@ -105,7 +108,7 @@ class Parts:
             low, high = self.starts[level], self.starts[level + 1] - 1
             apart = high * (self.of - self.least) // self.least
             empty = (apart + 1) * math.exp(-low / (apart + 1))
-            slack = int(empty + 2 * math.sqrt(empty) + 0.5) if apart else 0
+            slack = int(empty + 2.5 * math.sqrt(empty) + 0.5) if apart else 0
             count = apart + 1 + slack
             bounds = np.array([(k << 64) // count for k in range(1, count)], _U)
             salts = mix64(np.arange(count, dtype=_U) * _U(0x9E3779B97F4A7C15) + _U(level + 1))
@@ -123,7 +126,9 @@ class Parts:
             at = np.concatenate(([0], np.searchsorted(tokens, bounds), [size]))
             full = at[1:] > at[:-1]
             signed = mix64((sums[at[1:]] - sums[at[:-1]]) ^ salts)
-            found.append(signed if len(full) - full.sum() > slack else signed[full])
+            found.append(signed[full])
+            if len(full) - full.sum() > slack:
+                found.append(mix64(tokens[: size + (-size * self.least // self.of) + 1] + _U((level + 1) * 0x452821E638D01377 % (1 << 64))))
         return np.concatenate(found)
 
 
@@ -381,6 +386,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, least: int = 80, of: int = 1
     ``docs`` are not read. The result is exact, up to collisions of 64-bit shingle hashes.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     buckets = 2 * partitions(spark)
     scanned = docs.mapInArrow(_scan(n, least, of, buckets), _SCANNED)
@@ -393,9 +399,15 @@ def jaccard_components(docs: DataFrame, n: int = 5, least: int = 80, of: int = 1
 
     # Groups of similar sets, split where they hold many tokens.
     counted = signs.join(signs.groupBy("sign").agg(F.count(F.lit(1)).alias("held_by")), "sign")
-    keyed = sets.join(counted.groupBy("f48").agg(F.max(F.struct("held_by", "sign"))["sign"].alias("key")), "f48")
-    sizes = keyed.groupBy("key").agg(F.ceil(F.sum("n") / GROUP_TOKENS).alias("splits"))
-    grouped = keyed.join(sizes, "key").withColumn("gid", F.xxhash64("key", F.pmod(F.xxhash64("f1", "f2"), F.col("splits"))))
+    own = stored(counted.groupBy("f48").agg(F.max(F.struct("held_by", "sign")).alias("own")), "own-signatures")
+    near = signs.join(own, "f48").groupBy("sign").agg(F.max("own").alias("best"))
+    cluster = signs.join(near, "sign").groupBy("f48").agg(F.max("best").alias("cluster"))
+    keyed = stored(sets.join(own, "f48").join(cluster, "f48"), "clustered-sets")
+    sizes = keyed.groupBy("cluster").agg(F.ceil(F.sum("n") / GROUP_TOKENS).alias("parts"))
+    parted = keyed.join(sizes, "cluster").withColumn("part", F.pmod(F.xxhash64("own"), F.col("parts")))
+    loads = parted.groupBy("cluster", "part").agg(F.ceil(F.sum("n") / (2 * GROUP_TOKENS)).alias("splits"))
+    split = F.pmod(F.xxhash64("f1", "f2"), F.col("splits"))
+    grouped = parted.join(loads, ["cluster", "part"]).withColumn("gid", F.xxhash64("cluster", "part", split))
     grouped = stored(grouped.select("f48", "f1", "f2", "rep", "copies", "n", "gid"), "grouped-sets")
 
     # Queries for other groups; each pair of groups is looked at from the smaller id.
