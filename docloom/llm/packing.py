@@ -15,6 +15,9 @@ from pyspark.sql.window import Window
 from .common import partitions, small_batches, stored
 from .words import TextEncoder, word_pieces
 
+#: Pieces that a process holds: fewer than elsewhere, as packing ends a pipeline whose workers are still there.
+HELD_PIECES = 450_000
+
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _RUNS = "length long, first long, last long, sequence long, per int, offset int"
 
@@ -199,7 +202,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: in
     """
 
     def run(batches):
-        encoder = TextEncoder.of_tokenizer(tokenizer_path, word_pieces)
+        encoder = TextEncoder.of_tokenizer(tokenizer_path, word_pieces, HELD_PIECES)
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             rows = []

@@ -134,8 +134,8 @@ def byte_pieces(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndar
 class PieceTable:
     """Ids by the hash of a piece, in open addressing; 64 bits of hash and 32 of check tell pieces apart."""
 
-    def __init__(self, encode: Callable[[list[bytes]], list[np.ndarray]]):
-        self._encode = encode
+    def __init__(self, encode: Callable[[list[bytes]], list[np.ndarray]], pieces: int | None = None):
+        self._encode, self._most = encode, pieces
         self._clear()
 
     def _clear(self, slots: int = 1 << 16) -> None:
@@ -190,7 +190,7 @@ class PieceTable:
         total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(data.astype(np.uint64) ** 2, dtype=np.uint64)))
         shape = (total[ends] - total[starts]) * np.uint64(1 << 20) + (ends - starts).astype(np.uint64) * np.uint64(65_537) + data[starts] * np.uint64(257) + data[ends - 1]
         checks = (mix64(shape) >> np.uint64(32)).astype(np.uint32)
-        if self._count > PIECES or self._offsets[self._count] > HELD_IDS:
+        if self._count > (self._most or PIECES) or self._offsets[self._count] > HELD_IDS:
             self._clear()
         found = self._find(keys, checks)
         missing = np.flatnonzero(found < 0)
@@ -230,12 +230,12 @@ _MADE: dict[tuple, TextEncoder] = {}
 class TextEncoder:
     """Encodes the whole texts of Arrow columns; one for each tokenizer and process, so that tasks share its table."""
 
-    def __init__(self, encode: Callable[[list[bytes]], list[np.ndarray]], pieces: Callable):
-        self._table, self._pieces = PieceTable(encode), pieces
+    def __init__(self, encode: Callable[[list[bytes]], list[np.ndarray]], pieces: Callable, most: int | None = None):
+        self._table, self._pieces = PieceTable(encode, most), pieces
 
     @staticmethod
-    def of_tokenizer(path: str, pieces: Callable) -> TextEncoder:
-        key = ("tokenizers", path, pieces.__name__)
+    def of_tokenizer(path: str, pieces: Callable, most: int | None = None) -> TextEncoder:
+        key = ("tokenizers", path, pieces.__name__, most)
         if key not in _MADE:
             tokenizer = hf_tokenizer(path)
 
@@ -243,7 +243,7 @@ class TextEncoder:
                 made = tokenizer.encode_batch_fast([p.decode("utf-8", "surrogatepass") for p in parts], add_special_tokens=False)
                 return [np.array(e.ids, np.uint32) for e in made]
 
-            _MADE[key] = TextEncoder(encode, pieces)
+            _MADE[key] = TextEncoder(encode, pieces, most)
         return _MADE[key]
 
     def encode(self, column):
