@@ -160,15 +160,25 @@ def replace_text(spark, sf_dir):
     return done.groupBy("doc_id").agg(F.sum("replaced").alias("replaced"), F.md5(F.array_join(F.transform(lines, lambda x: x["t"]), "\n")).alias("digest"))
 
 
-def _template(spark, sf_dir) -> DataFrame:
+def _template(spark, sf_dir, words: Column | str = "text") -> DataFrame:
     talk = _read(spark, sf_dir, "conversations").where("text is not null")
-    said = F.concat(F.lit("{{role}}: "), F.substring("text", 1, 40), F.lit(" {{lang}} {{missing}}"))
+    said = F.concat(F.lit("{{role}}: "), words, F.lit(" {{lang}} {{missing}}"))
     return flat_nodes(talk, F.col("conv_id"), F.col("turn"), F.lit("paragraph"), said)
 
 
+_VALUES = {"role": "speaker {{lang}}", "lang": "fr"}
+
+
 @register("SELECT conv_id AS doc_id, turn::INTEGER AS seq, 'speaker fr: ' || substr(text, 1, 40) || ' fr {{missing}}' AS text FROM conversations WHERE text IS NOT NULL")
 def fill_template(spark, sf_dir):
-    done = text.fill_template(_template(spark, sf_dir), {"role": "speaker {{lang}}", "lang": "fr"})
+    """Of each turn only what its SQL compares; fill_template_whole fills whole turns."""
+    done = text.fill_template(_template(spark, sf_dir, F.substring("text", 1, 40)), _VALUES)
+    return done.select("doc_id", "seq", query.own_text().alias("text"))
+
+
+@register("SELECT conv_id AS doc_id, turn::INTEGER AS seq, replace(replace('{{role}}: ' || text || ' {{lang}} {{missing}}', '{{role}}', 'speaker {{lang}}'), '{{lang}}', 'fr') AS text FROM conversations WHERE text IS NOT NULL")
+def fill_template_whole(spark, sf_dir):
+    done = text.fill_template(_template(spark, sf_dir), _VALUES)
     return done.select("doc_id", "seq", query.own_text().alias("text"))
 
 
