@@ -205,11 +205,21 @@ def escapes(spark, sf_dir):
     )
 
 
-@register(r"SELECT conv_id, turn, regexp_replace(regexp_replace(regexp_replace(regexp_replace(m || substr(text, 1, 30), '^(\d+)([.)])(\s)', '\1\\\2\3'), '^(#{1,6})(\s|$)', '\\\1\2'), '^([-+])(\s)', '\\\1\2'), '^(>|!\[)', '\\\1') AS escaped FROM (SELECT *, CASE turn % 5 WHEN 0 THEN '1. ' WHEN 1 THEN '## ' WHEN 2 THEN '- ' WHEN 3 THEN '> ' ELSE '' END AS m FROM conversations)")
-def escape_line_starts(spark, sf_dir):
+def _escaped(spark, sf_dir, words: Column | str = "text") -> DataFrame:
     k = F.col("turn") % 5
     mark = F.when(k == 0, "1. ").when(k == 1, "## ").when(k == 2, "- ").when(k == 3, "> ").otherwise("")
-    return _read(spark, sf_dir, "conversations").select("conv_id", "turn", scalars.escape_line_start(F.concat(mark, F.substring("text", 1, 30))).alias("escaped"))
+    return _read(spark, sf_dir, "conversations").select("conv_id", "turn", scalars.escape_line_start(F.concat(mark, words)).alias("escaped"))
+
+
+@register(r"SELECT conv_id, turn, regexp_replace(regexp_replace(regexp_replace(regexp_replace(m || substr(text, 1, 30), '^(\d+)([.)])(\s)', '\1\\\2\3'), '^(#{1,6})(\s|$)', '\\\1\2'), '^([-+])(\s)', '\\\1\2'), '^(>|!\[)', '\\\1') AS escaped FROM (SELECT *, CASE turn % 5 WHEN 0 THEN '1. ' WHEN 1 THEN '## ' WHEN 2 THEN '- ' WHEN 3 THEN '> ' ELSE '' END AS m FROM conversations)")
+def escape_line_starts(spark, sf_dir):
+    """Of each turn only what its SQL compares; escape_line_starts_whole escapes whole turns."""
+    return _escaped(spark, sf_dir, F.substring("text", 1, 30))
+
+
+@register(r"SELECT conv_id, turn, regexp_replace(regexp_replace(regexp_replace(regexp_replace(m || text, '^(\d+)([.)])(\s)', '\1\\\2\3'), '^(#{1,6})(\s|$)', '\\\1\2'), '^([-+])(\s)', '\\\1\2'), '^(>|!\[)', '\\\1') AS escaped FROM (SELECT *, CASE turn % 5 WHEN 0 THEN '1. ' WHEN 1 THEN '## ' WHEN 2 THEN '- ' WHEN 3 THEN '> ' ELSE '' END AS m FROM conversations)")
+def escape_line_starts_whole(spark, sf_dir):
+    return _escaped(spark, sf_dir)
 
 
 def _talk(spark, sf_dir) -> DataFrame:
