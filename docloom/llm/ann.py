@@ -73,9 +73,10 @@ def _column_blocks(d: int) -> list[tuple[int, int]]:
 
 
 def scan_list(members: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, rotation: np.ndarray, k: int) -> list[tuple[int, int, float]]:
-    """(query, member, cosine) of the k nearest members found for each query, ties to smaller ids."""
+    """(query, member, cosine) of the k nearest members found for each query, ties to smaller ids; a repeated id counts once, by its nearest row."""
     order = np.argsort(ids, kind="stable")
     members, ids = members[order], ids[order]
+    repeated = bool((ids[1:] == ids[:-1]).any())
     x, q = _unit(members) @ rotation, _unit(queries) @ rotation
     d = x.shape[1]
     blocks = _column_blocks(d)
@@ -99,6 +100,12 @@ def scan_list(members: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_i
             keep = dist * (d / b) <= bound[qi] * slack + 1e-9
             qi, xi, dist = qi[keep], xi[keep], dist[keep]
         held_q, held_x, held_d = np.concatenate([held_q, qi]), np.concatenate([held_x, xi + start]), np.concatenate([held_d, dist])
+        if repeated:
+            order = np.lexsort((held_d, ids[held_x], held_q))
+            held_q, held_x, held_d = held_q[order], held_x[order], held_d[order]
+            fresh = np.ones(len(held_q), bool)
+            fresh[1:] = (held_q[1:] != held_q[:-1]) | (ids[held_x[1:]] != ids[held_x[:-1]])
+            held_q, held_x, held_d = held_q[fresh], held_x[fresh], held_d[fresh]
         order = np.lexsort((held_x, held_d, held_q))
         held_q, held_x, held_d = held_q[order], held_x[order], held_d[order]
         rank = np.arange(len(held_q)) - np.searchsorted(held_q, held_q)
@@ -121,14 +128,14 @@ def nearest_neighbours(vectors: DataFrame, is_query, k: int = 5, recall: float =
 
     All valid rows but the query's own are candidates. Rows with a null id or a vector that is
     null, zero, or holds null or non-finite parts take no part, nor do vectors whose length is not
-    the sample's most common one. Repeated ids give one result each. The number of lists is the
+    the sample's most common one. A repeated id gives one result, by its nearest row, and asks with each of its vectors. The number of lists is the
     square root of the number of vectors, 1024 at most; each query reads as many lists as
     :func:`calibrate_probes` finds for ``recall``, more where they hold fewer than ``k + 1``
-    vectors. Lists of many vectors, and of many queries, are split.
+    ids. Lists of many vectors, and of many queries, are split.
     """
     spark = vectors.sparkSession
     clean = valid_vectors(vectors, id_col, vec_col)
-    sample = clean.orderBy(F.xxhash64("vec_id", "v")).limit(SAMPLE).toPandas()["v"]
+    sample = clean.orderBy(F.xxhash64("vec_id", "v")).limit(SAMPLE).toPandas().drop_duplicates("vec_id")["v"]
     if not len(sample):
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     lengths, times = np.unique([len(v) for v in sample], return_counts=True)
@@ -152,7 +159,8 @@ def nearest_neighbours(vectors: DataFrame, is_query, k: int = 5, recall: float =
 
     index = stored(clean.mapInArrow(assign, "list int, vec_id long, x binary"), "vector-lists")
     sizes = {r[0]: r[1] for r in index.groupBy("list").count().collect()}  # 1024 rows at most
-    filled = np.array([sizes.get(i, 0) for i in range(lists)])
+    fresh = {r[0]: r[1] for r in index.groupBy("vec_id").agg(F.min("list").alias("list")).groupBy("list").count().collect()}
+    filled, new_ids = (np.array([n.get(i, 0) for i in range(lists)]) for n in (sizes, fresh))  # an id of several lists is new in one
 
     def probe(batches):
         import pyarrow as pa
@@ -161,13 +169,13 @@ def nearest_neighbours(vectors: DataFrame, is_query, k: int = 5, recall: float =
             if batch.num_rows:
                 x = np.frombuffer(b"".join(batch.column("x").to_pylist()), "<f8").reshape(-1, d)
                 order = np.argsort(-(_unit(x) @ centroids.T), axis=1, kind="stable")
-                before = np.cumsum(filled[order], axis=1) - filled[order]
+                before = np.cumsum(new_ids[order], axis=1) - new_ids[order]
                 wanted = (np.arange(lists)[None, :] < probes) | (before < k + 1)
                 row, column = np.nonzero(wanted & (filled[order] > 0))
                 yield pa.RecordBatch.from_arrays([pa.array(order[row, column], pa.int32()), batch.column("vec_id").take(pa.array(row)), batch.column("x").take(pa.array(row))], names=["list", "vec_id", "x"])
 
     asked = index.where(is_query).mapInArrow(probe, "list int, vec_id long, x binary")
-    asked = stored(asked.dropDuplicates(["list", "vec_id"]), "vector-queries")
+    asked = stored(asked.dropDuplicates(["list", "vec_id", "x"]), "vector-queries")
     splits = spark.createDataFrame([(i, -(-n // MEMBERS)) for i, n in sizes.items()], "list int, splits long")
     loads = asked.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / QUERIES).alias("loads"))
     plan = F.broadcast(loads.join(splits, "list"))  # a row for each list, 1024 at most
@@ -204,6 +212,6 @@ def nearest_neighbours(vectors: DataFrame, is_query, k: int = 5, recall: float =
                 sides[role].append((vec_id, x))
         yield batch_of(found(sides))
 
-    hits = together.mapInArrow(search, "query_id long, vec_id long, score double").dropDuplicates(["query_id", "vec_id"])
+    hits = together.mapInArrow(search, "query_id long, vec_id long, score double").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return hits.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

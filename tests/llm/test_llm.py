@@ -442,6 +442,24 @@ def test_neighbours(spark):
     assert ann.nearest_neighbours(vectors.limit(0), F.col("vec_id") == 0).count() == 0
 
 
+def test_neighbours_with_repeated_ids(spark):
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((12, 8))
+    x[1] = x[0] + 0.01
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(1, [float(v) for v in x[1]])] * 40 + [(2, [float(v) for v in -x[0]])] * 9
+    ids, members = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
+    unit = members / np.linalg.norm(members, axis=1, keepdims=True)
+    score = {}
+    for i, s in zip(ids, unit @ unit[0], strict=True):
+        score[int(i)] = max(score.get(int(i), -9), s)
+    best = sorted((i for i in score if i), key=lambda i: -score[i])[:5]
+    found = ann.scan_list(members, ids, members[:1], ids[:1], np.eye(8), 5)
+    assert [f[1] for f in found] == best and np.allclose([f[2] for f in found], [score[i] for i in best])
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r["rank"], r["vec_id"]) for r in ann.nearest_neighbours(vectors, F.col("vec_id") == 0).collect())
+    assert [g[0] for g in got] == [1, 2, 3, 4, 5] and got[0][1] == 1 and len({g[1] for g in got}) == 5
+
+
 def test_quality_on_held_out_labels(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
