@@ -216,34 +216,54 @@ def _distinct(keys: np.ndarray, checks: np.ndarray) -> np.ndarray:
 
 
 def hf_tokenizer(path: str):
-    """A tokenizer of the tokenizers library that takes special tokens in a text as ordinary text."""
+    """A tokenizer of the tokenizers library as it is: an added token in a text has its own id."""
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    return tokenizer
+    return Tokenizer.from_file(path)
+
+
+def _marked_texts(data: np.ndarray, cuts: np.ndarray, marks: list[bytes]) -> np.ndarray:
+    """The texts, by number, in which one of the marks stands."""
+    said, found = data.tobytes(), set()
+    for mark in marks:
+        at = said.find(mark)
+        while at >= 0:
+            text = int(np.searchsorted(cuts, at, "right")) - 1
+            inside = at + len(mark) <= cuts[text + 1]
+            if inside:
+                found.add(text)
+            at = said.find(mark, int(cuts[text + 1]) if inside else at + 1)
+    return np.array(sorted(found), np.int64)
 
 
 _MADE: dict[tuple, TextEncoder] = {}
 
 
 class TextEncoder:
-    """Encodes the whole texts of Arrow columns; one for each tokenizer and process, so that tasks share its table."""
+    """Encodes the whole texts of Arrow columns; one for each tokenizer and process, so that tasks share its table.
+
+    A text that holds an added token is one piece, since such a token parts what stands around it.
+    """
+
+    _marks: list[bytes] = []
 
-    def __init__(self, encode: Callable[[list[bytes]], list[np.ndarray]], pieces: Callable, most: int | None = None):
-        self._table, self._pieces = PieceTable(encode, most), pieces
+    def __init__(self, encode: Callable[[list[bytes]], list[np.ndarray]], pieces: Callable, most: int | None = None, marks: list[bytes] | None = None):
+        self._table, self._pieces, self._marks = PieceTable(encode, most), pieces, marks or []
 
     @staticmethod
     def of_tokenizer(path: str, pieces: Callable, most: int | None = None) -> TextEncoder:
         key = ("tokenizers", path, pieces.__name__, most)
         if key not in _MADE:
             tokenizer = hf_tokenizer(path)
+            added = tokenizer.get_added_tokens_decoder().values()
+            if any(t.normalized for t in added):
+                raise ValueError("added tokens that are looked for in normalized text cannot be told from the text's bytes")
 
             def encode(parts: list[bytes]) -> list[np.ndarray]:
                 made = tokenizer.encode_batch_fast([p.decode("utf-8", "surrogatepass") for p in parts], add_special_tokens=False)
                 return [np.array(e.ids, np.uint32) for e in made]
 
-            _MADE[key] = TextEncoder(encode, pieces, most)
+            _MADE[key] = TextEncoder(encode, pieces, most, [t.content.encode() for t in added])
         return _MADE[key]
 
     def encode(self, column):
@@ -254,7 +274,15 @@ class TextEncoder:
             last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + CHUNK_BYTES, "right")) - 1)
             last = min(last, rows)
             cuts = offsets[first : last + 1] - offsets[first]
-            part, starts, ends = self._pieces(data[offsets[first] : offsets[last]], cuts)
+            raw = data[offsets[first] : offsets[last]]
+            part, starts, ends = self._pieces(raw, cuts)
+            marked = _marked_texts(raw, cuts, self._marks)
+            if len(marked):
+                part = part.copy()
+                cut = ~np.isin(np.searchsorted(cuts, starts, "right") - 1, marked)
+                starts, ends = np.sort(np.concatenate((starts[cut], cuts[marked]))), np.sort(np.concatenate((ends[cut], cuts[marked + 1])))
+                for a, b in zip(cuts[marked], cuts[marked + 1], strict=True):
+                    part[a:b] = raw[a:b]
             ids, sizes = self._table.encode(part, starts, ends)
             borders = np.concatenate(([0], np.cumsum(sizes)))[np.searchsorted(starts, cuts)]
             for a, b in zip(borders, borders[1:], strict=False):

@@ -121,6 +121,17 @@ def test_pieces_encode_as_whole_texts_do(name, cut):
         assert ids.tolist() == tokenizer.encode(text or "", add_special_tokens=False).ids, text
 
 
+@pytest.mark.parametrize("name,cut", [("word_bpe_49k.json", words.word_pieces), ("byte_bpe_50k.json", words.byte_pieces)])
+def test_added_tokens_encode_as_the_library_does(name, cut):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(P.path(name))
+    texts = ["Before it", "Hello  <|endoftext|> There", "", "<|startoftext|>x<|endoftext|><|endoftext|>", "<|endof", "text|> A", "<|ENDOFTEXT|> é", "é<|endoftext|>\n\nit's", None, "<|endoftext|>", "After it "]
+    for text, ids in zip(texts, words.TextEncoder.of_tokenizer(P.path(name), cut).encode(pa.array(texts)), strict=True):
+        assert ids.tolist() == tokenizer.encode(text or "", add_special_tokens=False).ids, text
+    assert tokenizer.encode(texts[1], add_special_tokens=False).ids.count(tokenizer.token_to_id("<|endoftext|>")) == 1
+
+
 def test_piece_table_forgets_and_grows(monkeypatch):
     monkeypatch.setattr(words, "PIECES", 50)
     table = words.PieceTable(lambda parts: [np.frombuffer(p, np.uint8).astype(np.uint32) for p in parts])
