@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from docloom.llm import linededup, packing, quality, setjoin
-from docloom.llm.common import fresh_path
+from docloom.llm.common import fresh_path, stored
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,9 +23,28 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each component at a Jaccard similarity of 0.8 over five-word shingles."""
-    found = setjoin.jaccard_components(docs, n=5, least=80, of=100)
-    return docs.join(found.where("component_id <> doc_id").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    """One row of each component at a Jaccard similarity of 0.8 over five-word shingles, that of the smallest id.
+
+    Rows are told apart by a hash of id and text, so rows that share an id are judged each by its
+    text. A null id comes last; of rows with equal id and text the smallest stays. Rows without a
+    word all stay.
+    """
+    keyed = docs.withColumn("docloom_key", F.xxhash64("doc_id", "text"))
+    found = setjoin.jaccard_components(keyed.select(F.col("docloom_key").alias("doc_id"), "text"), n=5, least=80, of=100)
+    found = found.where("n_shingles > 0").groupBy(F.col("doc_id").alias("docloom_key")).agg(F.min("component_id").alias("component"), F.count(F.lit(1)).alias("copies"))
+    grouped = found.where("component <> docloom_key").select("component").distinct()
+    shared = found.join(grouped, "component", "left_semi")
+    ids = keyed.select("docloom_key", "doc_id").join(shared, "docloom_key").dropDuplicates(["docloom_key"])
+    first = F.row_number().over(Window.partitionBy("component").orderBy(F.col("doc_id").asc_nulls_last(), "docloom_key")) == 1
+    gone = ids.select("docloom_key", F.when(first, F.col("copies")).otherwise(0).alias("copies")).where("copies <> 1")
+    alone = found.where("copies > 1").join(grouped, "component", "left_anti").select("docloom_key", "copies")
+    judged = stored(gone.unionByName(alone), "near-duplicates")
+    left = keyed.join(judged, "docloom_key", "left_anti").select(*docs.columns)
+    repeated = judged.where("copies > 1")
+    if repeated.isEmpty():
+        return left
+    once = keyed.join(repeated, "docloom_key", "left_semi").groupBy("docloom_key").agg(F.min(F.struct(*docs.columns)).alias("row"))
+    return left.unionByName(once.select("row.*"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -529,3 +529,16 @@ def test_pipeline(spark):
     assert left.columns == docs.columns and {r["doc_id"] for r in left.collect()} == set(components.values())
     packed = corpus_pipeline.run(spark, DATA).collect()
     assert check_packed(packed, 4096) <= sum(r["length"] for r in packed) / 4096 + 2
+
+
+def test_near_duplicates_are_judged_by_row(spark):
+    import corpus_pipeline
+
+    x, y, z = (" ".join(f"{c}{i}" for i in range(40)) for c in "xyz")
+    rows = [(3, x), (7, x), (7, y), (8, z), (8, z), (None, z + " more"), (None, "alone in its words"), (9, "twice the same"), (9, "twice the same"), (10, ""), (11, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    left = corpus_pipeline.drop_near_duplicates(spark, docs, DATA)
+    assert left.columns == docs.columns
+    expected = [(3, x), (7, y), (8, z), (None, "alone in its words"), (9, "twice the same"), (10, ""), (11, None)]
+    assert sorted((r["doc_id"], r["text"]) for r in left.collect() if r["doc_id"] and r["text"]) == sorted(e for e in expected if e[0] and e[1])
+    assert sorted(str((r["doc_id"], r["text"])) for r in left.collect()) == sorted(map(str, expected))
