@@ -50,24 +50,37 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return table
 
 
-def release(table: DataFrame) -> None:
-    """Deletes a table made by :func:`stored` that nothing reads any more."""
-    path = getattr(table, "_docloom_path", None)
-    if path:
-        jvm = table.sparkSession._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+def sweep(spark: SparkSession) -> None:
+    """Lets Spark drop the shuffle files of steps whose results are stored.
+
+    They go when the driver collects its garbage, which in a long job may be after its last step.
+    """
+    spark._jvm.System.gc()
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes tables made by :func:`stored` that nothing reads any more."""
+    for table in tables:
+        path = getattr(table, "_docloom_path", None)
+        if path:
+            remove(table.sparkSession, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder, wherever Spark's file systems have it."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-#: Rows that Spark hands to Python at once; texts can be long.
-BATCH_ROWS = 1000
+#: Rows and bytes that Spark hands to Python at once; texts can be long. One longer text is a batch of its own.
+BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bounds the Arrow batches of the session, which hold whole texts on both sides; a smaller bound stays."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
-        spark.conf.set(key, BATCH_ROWS)
+    """Bounds the Arrow batches of the session, which hold whole texts on both sides; smaller bounds stay."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        if not 0 < int(spark.conf.get(key).rstrip("b")) <= most:
+            spark.conf.set(key, most)
 
 
 def partitions(spark: SparkSession) -> int:

@@ -34,4 +34,6 @@ def connected_components(edges: DataFrame) -> DataFrame:
             break
         before = tuple(state)
     roots = current.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    return current.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
+    found = current.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
+    found._docloom_path = current._docloom_path  # so that release(found) drops the last round's table
+    return found
