@@ -101,14 +101,16 @@ def maybe_in(df: DataFrame, key: Column, filter_: DataFrame) -> DataFrame:
 
     The broadcast holds 2 MB at most by construction.
     """
+    return flagged(df, key, filter_, "_maybe", "inner").where("_maybe").drop("_maybe")
+
+
+def flagged(df: DataFrame, key: Column, filter_: DataFrame, name: str, how: str = "left") -> DataFrame:
+    """``df`` with a boolean ``name``: false if the key is not in the filter; all rows stay in a left join."""
     filter_ = filter_.select(F.col("fb").alias("_fb"), F.col("bits").alias("_bits"))
     byte = F.conv(F.hex(F.expr("substring(_bits, _at div 8 + 1, 1)")), 16, 10).cast("int")
-    return (
-        df.withColumns({"_fb": F.pmod(key, F.lit(FILTER_BITMAPS)).cast("int"), "_at": _bit(key)})
-        .join(F.broadcast(filter_), "_fb")
-        .where(F.call_function("getbit", byte, F.expr("cast(_at % 8 as int)")) == 1)
-        .drop("_fb", "_at", "_bits")
-    )
+    held = F.coalesce(F.call_function("getbit", byte, F.expr("cast(_at % 8 as int)")) == 1, F.lit(False))
+    keyed = df.withColumns({"_fb": F.pmod(key, F.lit(FILTER_BITMAPS)).cast("int"), "_at": _bit(key)})
+    return keyed.join(F.broadcast(filter_), "_fb", how).withColumn(name, held).drop("_fb", "_at", "_bits")
 
 
 def _bit(key: Column) -> Column:

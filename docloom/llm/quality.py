@@ -231,12 +231,18 @@ def fit_quality(docs: DataFrame, labels: DataFrame, corpus: DataFrame | None = N
     return QualityModel(vectors, fit_network(x, found["quality"].to_numpy(float)))
 
 
-def score_quality(docs: DataFrame, model: QualityModel, threshold: float = 0.3, keep_columns: bool = False) -> DataFrame:
+def score_quality(
+    docs: DataFrame, model: QualityModel, threshold: float = 0.3, keep_columns: bool = False, score_name: str = "score", predicted_name: str = "predicted"
+) -> DataFrame:
     """doc_id, held_out, score and predicted for every row; with ``keep_columns`` the rows' own columns, score and predicted.
 
+    The two new columns take other names on request; a column that has such a name already is an error.
+
     Only the text is an input of the score. Null and empty texts are scored as texts without
     tokens; null ids and repeated rows are kept; an empty table gives no rows.
     """
+    if keep_columns and {score_name, predicted_name} & set(docs.columns):
+        raise ValueError("name the score and the prediction otherwise than the columns that are there")
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a fixed size: SLOTS x 2 WIDTH numbers
 
@@ -248,11 +254,11 @@ def score_quality(docs: DataFrame, model: QualityModel, threshold: float = 0.3,
             score = model.network.score(pooled(batch.column("text"), model.vectors))
             taken = [batch.column(i) for i in range(batch.num_columns)] if keep_columns else [batch.column("doc_id")]
             names = batch.schema.names if keep_columns else ["doc_id"]
-            yield pa.RecordBatch.from_arrays([*taken, pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=[*names, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*taken, pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=[*names, score_name, predicted_name])
 
     from pyspark.sql import types as T
 
     base = docs if keep_columns else docs.select("doc_id", "text")
     kept = base.schema.fields if keep_columns else [base.schema["doc_id"]]
-    scored = base.mapInArrow(run, T.StructType([*kept, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]))
-    return scored if keep_columns else scored.select("doc_id", held_out().alias("held_out"), "score", "predicted")
+    scored = base.mapInArrow(run, T.StructType([*kept, T.StructField(score_name, T.DoubleType()), T.StructField(predicted_name, T.IntegerType())]))
+    return scored if keep_columns else scored.select("doc_id", held_out().alias("held_out"), score_name, predicted_name)

@@ -8,6 +8,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+import corpus_pipeline
 import public_tokenizers as P
 from pyspark.sql import functions as F
 
@@ -344,14 +345,14 @@ def test_components(spark):
     assert {found[i] for i in range(100, 160)} == {100} and {found[i] for i in range(200, 271)} == {200}
 
 
-def brute_lines(rows):
+def brute_lines(rows, min_words=linededup.MIN_WORDS):
     lines = []
     for i, text in sorted(rows):
         lines += [(i, k, line.strip(" \t\r")) for k, line in enumerate((text or "").split("\n")) if line.strip(" \t\r")]
 
     def near(a, b):
         a, b = a.split(), b.split()
-        if min(len(a), len(b)) < linededup.MIN_WORDS or abs(len(a) - len(b)) > 1:
+        if min(len(a), len(b)) < min_words or abs(len(a) - len(b)) > 1:
             return False
         if len(a) == len(b):
             return sum(x != y for x, y in zip(a, b, strict=True)) <= 1
@@ -398,6 +399,45 @@ def test_lines_equal_brute_force(spark):
             assert kept[i]["text"] == ("\n".join(left) if lost else text) and kept[i]["n_chars"] == len(kept[i]["text"] or "")
 
 
+@pytest.mark.parametrize("min_words", [1, 3])
+def test_short_lines_with_a_smaller_bound(spark, min_words):
+    rng = random.Random(min_words)
+    rows = [(i, "\n".join(" ".join(rng.choices(["a", "b", "c", "d", "e", "f"], k=rng.randint(1, 6))) for _ in range(rng.randint(0, 3)))) for i in range(25)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {(r["doc_id"], r["line_no"]) for r in linededup.duplicate_lines(docs, min_words).collect()} == brute_lines(rows, min_words)
+
+
+def test_orders_of_one_bag_of_words_are_not_paired(spark):
+    rng = random.Random(2)
+    bag = [f"w{i}" for i in range(9)] + ["twice", "twice"]
+    rows = [(i, " ".join(rng.sample(bag, 11) + (["more"] if i % 2 else []))) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {(r["doc_id"], r["line_no"]) for r in linededup.duplicate_lines(docs).collect()} == brute_lines(rows)
+
+
+def test_columns_of_clashing_names_pass(spark):
+    names = ["gone", "docloom_kept", "kept", "row", "hit", "doc", "id", "score", "predicted", "docloom_key", "_maybe", "component", "copies"]
+    line = "one line of more than eight words is here twice"
+    rows = [(i, f"{line}\nand line {i} of its own", *[f"{n}{i}" for n in names]) for i in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    kept = {r["doc_id"]: r for r in linededup.dedup_lines(docs).collect()}
+    assert kept[0]["text"] == rows[0][1] and kept[3]["text"] == "and line 3 of its own"
+    assert all(kept[i][n] == f"{n}{i}" for i in range(4) for n in names)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(4)], "doc_id long, quality int")
+    scored = quality.score_quality(docs, quality.fit_quality(docs, labels), keep_columns=True, score_name="docloom_score", predicted_name="docloom_predicted")
+    assert {r["score"] for r in scored.collect()} == {f"score{i}" for i in range(4)}
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        made = stage(spark, docs, DATA)
+        assert made.columns == docs.columns, name
+        assert all(r[n].startswith(n) for r in made.collect() for n in names), name
+
+
+def test_a_document_of_very_many_lines(spark):
+    text = "\n".join(f"line {i % 30_000}" for i in range(60_000))
+    [row] = linededup.dedup_lines(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert row["text"] == "\n".join(f"line {i}" for i in range(30_000))
+
+
 def test_lines_of_odd_documents(spark):
     gone = linededup.duplicate_lines(odd_documents(spark)).collect()
     assert {(r["doc_id"], r["line_no"]) for r in gone} == {(7, 0), (9, 0), (11, 2)} or {(7, 0), (9, 0), (11, 2)} <= {(r["doc_id"], r["line_no"]) for r in gone}
