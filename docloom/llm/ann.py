@@ -10,6 +10,8 @@ Survivors are scored on their original vectors in double precision.
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,8 +19,12 @@ from pyspark.sql.window import Window
 
 from .common import partitions, stored
 
-#: Centroids are fitted on so many vectors at most, those with the smallest hashes.
-SAMPLE = 16_384
+#: Centroids are fitted on so many vectors at most, those with the smallest hashes, and on so many numbers.
+SAMPLE, SAMPLE_NUMBERS = 16_384, 1 << 22
+#: Lists, at most: so many sampled vectors to a list.
+PER_LIST = 4
+#: Vectors whose nearest centroids are sought at once.
+STEP = 1024
 #: Vectors of a list and queries of a list that meet in one step.
 MEMBERS, QUERIES = 4096, 1024
 #: Looseness of the test; larger values abandon fewer candidates.
@@ -38,12 +44,17 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def _nearest(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
+    """The nearest centroid of each unit vector."""
+    return np.concatenate([np.argmax(x[i : i + STEP] @ centroids.T, axis=1) for i in range(0, len(x), STEP)])
+
+
 def fit_centroids(sample: np.ndarray, lists: int, rounds: int = 10) -> np.ndarray:
     """Spherical k-means from a fixed seed."""
     x, rng = _unit(sample), np.random.default_rng(7)
     centroids = x[rng.choice(len(x), lists, replace=False)]
     for _ in range(rounds):
-        nearest = np.argmax(x @ centroids.T, axis=1)
+        nearest = _nearest(x, centroids)
         sums = np.zeros_like(centroids)
         np.add.at(sums, nearest, x)
         norms = np.linalg.norm(sums, axis=1, keepdims=True)
@@ -61,7 +72,7 @@ def calibrate_probes(sample: np.ndarray, centroids: np.ndarray, k: int, recall:
     near = x[asked] @ x.T
     near[np.arange(len(asked)), asked] = -np.inf
     found = np.argsort(-near, axis=1, kind="stable")[:, : min(k, len(x) - 1)]
-    home = np.argmax(x @ centroids.T, axis=1)
+    home = _nearest(x, centroids)
     place = np.argsort(np.argsort(-(x[asked] @ centroids.T), axis=1, kind="stable"), axis=1)
     ranks = np.sort(place[np.arange(len(asked))[:, None], home[found]].ravel())
     return int(ranks[min(len(ranks) - 1, int(np.ceil(recall * len(ranks))) - 1)]) + 1 if len(ranks) else 1
@@ -127,22 +138,30 @@ def nearest_neighbours(vectors: DataFrame, is_query, k: int = 5, recall: float =
     """query_id, rank, vec_id, score: the ``k`` nearest found for each row that ``is_query`` (a Column on vec_id) holds for.
 
     All valid rows but the query's own are candidates. Rows with a null id or a vector that is
-    null, zero, or holds null or non-finite parts take no part, nor do vectors whose length is not
-    the sample's most common one. A repeated id gives one result, by its nearest row, and asks with each of its vectors. The number of lists is the
-    square root of the number of vectors, 1024 at most; each query reads as many lists as
-    :func:`calibrate_probes` finds for ``recall``, more where they hold fewer than ``k + 1``
-    ids. Lists of many vectors, and of many queries, are split.
+    null, zero, or holds null or non-finite parts take no part. Vectors of different lengths have
+    no cosine, so each length is searched on its own, with lists of its own. A repeated id gives
+    one result, by its nearest row, and asks with each of its vectors. The number of lists is the
+    square root of the number of vectors, a quarter of the sample at most; each query reads as many
+    lists as :func:`calibrate_probes` finds for ``recall``, more where they hold fewer than
+    ``k + 1`` ids. Lists of many vectors, and of many queries, are split.
     """
-    spark = vectors.sparkSession
     clean = valid_vectors(vectors, id_col, vec_col)
-    sample = clean.orderBy(F.xxhash64("vec_id", "v")).limit(SAMPLE).toPandas().drop_duplicates("vec_id")["v"]
-    if not len(sample):
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    lengths, times = np.unique([len(v) for v in sample], return_counts=True)
-    d = int(lengths[np.argmax(times)])
-    clean = clean.where(F.size("v") == d)
-    fitted = np.array([v for v in sample if len(v) == d], float)
-    lists = max(1, min(int(np.sqrt(clean.count())), 1024, len(fitted)))
+    lengths = clean.groupBy(F.size("v").alias("d")).count().orderBy("d").collect()  # a row for each length
+    if not lengths:
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    hits = [_search(clean.where(F.size("v") == row["d"]), is_query, k, recall, row["d"], row["count"]) for row in lengths]
+    hits = functools.reduce(DataFrame.unionByName, hits).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return hits.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _search(clean: DataFrame, is_query, k: int, recall: float, d: int, count: int) -> DataFrame:
+    """query_id, vec_id and score of the nearest found in each list, for ``count`` vectors of length ``d``."""
+    spark = clean.sparkSession
+    size = max(256, min(SAMPLE, SAMPLE_NUMBERS // d))
+    sample = clean.orderBy(F.xxhash64("vec_id", "v")).limit(size).toPandas().drop_duplicates("vec_id")["v"]
+    fitted = np.array(list(sample), float)
+    lists = max(1, min(int(np.sqrt(count)), -(-size // PER_LIST), len(fitted)))
     centroids = fit_centroids(fitted, lists)
     probes = calibrate_probes(fitted, centroids, k, recall)
     rotation = np.linalg.qr(np.random.default_rng(11).standard_normal((d, d)))[0]
@@ -153,12 +172,12 @@ def nearest_neighbours(vectors: DataFrame, is_query, k: int = 5, recall: float =
         for batch in batches:
             if batch.num_rows:
                 x = np.array(batch.column("v").flatten()).reshape(-1, d)
-                nearest = np.argmax(_unit(x) @ centroids.T, axis=1)
+                nearest = _nearest(_unit(x), centroids)
                 packed = pa.array([r.tobytes() for r in x], pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(nearest, pa.int32()), batch.column("vec_id"), packed], names=["list", "vec_id", "x"])
 
     index = stored(clean.mapInArrow(assign, "list int, vec_id long, x binary"), "vector-lists")
-    sizes = {r[0]: r[1] for r in index.groupBy("list").count().collect()}  # 1024 rows at most
+    sizes = {r[0]: r[1] for r in index.groupBy("list").count().collect()}  # a row for each list
     fresh = {r[0]: r[1] for r in index.groupBy("vec_id").agg(F.min("list").alias("list")).groupBy("list").count().collect()}
     filled, new_ids = (np.array([n.get(i, 0) for i in range(lists)]) for n in (sizes, fresh))  # an id of several lists is new in one
 
@@ -178,7 +197,7 @@ def nearest_neighbours(vectors: DataFrame, is_query, k: int = 5, recall: float =
     asked = stored(asked.dropDuplicates(["list", "vec_id", "x"]), "vector-queries")
     splits = spark.createDataFrame([(i, -(-n // MEMBERS)) for i, n in sizes.items()], "list int, splits long")
     loads = asked.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / QUERIES).alias("loads"))
-    plan = F.broadcast(loads.join(splits, "list"))  # a row for each list, 1024 at most
+    plan = F.broadcast(loads.join(splits, "list"))  # a row for each list
 
     def spread(n: str):
         return F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
@@ -212,6 +231,4 @@ def nearest_neighbours(vectors: DataFrame, is_query, k: int = 5, recall: float =
                 sides[role].append((vec_id, x))
         yield batch_of(found(sides))
 
-    hits = together.mapInArrow(search, "query_id long, vec_id long, score double").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return hits.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return together.mapInArrow(search, "query_id long, vec_id long, score double")

@@ -34,7 +34,7 @@ def rotate_perspectives(turns: DataFrame, system_roles: tuple[str, ...] = ("syst
         "turn",
         F.coalesce("role", F.lit("unknown")).alias("speaker"),
         _plain(F.coalesce("text", F.lit(""))).alias("text"),
-        F.coalesce(F.col("conv_id").cast("string"), F.lit("")).alias("key"),
+        F.coalesce(F.concat(F.lit("="), F.col("conv_id").cast("string")), F.lit("")).alias("key"),  # no id is equal to null
         F.floor(F.coalesce(F.col("turn"), F.lit(-1)) / BLOCK).cast("long").alias("block"),
     )
     is_system = F.col("speaker").isin(*system_roles)
@@ -75,3 +75,14 @@ def rotate_perspectives(turns: DataFrame, system_roles: tuple[str, ...] = ("syst
         F.when(F.col("trained"), F.col("start_char") + F.length("header")).alias("mask_start"),
         F.when(F.col("trained"), F.col("start_char") + F.col("n") - 1).alias("mask_end"),
     )
+
+
+def dialogues(views: DataFrame) -> DataFrame:
+    """conv_id, perspective, text and masks (the trained stretches, from and up to) of whole dialogues, one row each.
+
+    For dialogues that fit in a task's memory; :func:`rotate_perspectives` itself has no such bound.
+    """
+    turns = F.array_sort(F.collect_list(F.struct("start_char", "rendered", "mask_start", "mask_end")))
+    whole = views.groupBy("conv_id", "perspective").agg(turns.alias("turns"))
+    masks = F.transform(F.filter("turns", lambda t: t["mask_start"].isNotNull()), lambda t: F.struct(t["mask_start"].alias("start"), t["mask_end"].alias("end")))
+    return whole.select("conv_id", "perspective", F.array_join(F.col("turns.rendered"), "").alias("text"), masks.alias("masks"))

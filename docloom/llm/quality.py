@@ -208,13 +208,14 @@ def fit_quality(docs: DataFrame, labels: DataFrame, corpus: DataFrame | None = N
     """Fits on the labelled documents that are not held out; contexts come from all of ``corpus`` (default ``docs``).
 
     At most ``sample`` labelled rows are used, those whose ids have the smallest hashes. Labels
-    with a null id or quality are left out, and of repeated ones the largest quality counts.
+    with a null id or quality are left out, and of repeated ones the largest quality counts; of
+    documents that share a labelled id the text that sorts first counts, so the sample is bounded.
     """
     vectors = np.concatenate([index_matrix(), corpus_contexts(corpus if corpus is not None else docs)], axis=1)
     known = labels.where("doc_id is not null and quality is not null").where(~held_out()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     # The sample is bounded, so it may be broadcast.
     chosen = stored(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample), "label-sample")
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "text")
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.min("text").alias("text"))
 
     def features(batches):
         import pyarrow as pa

@@ -22,7 +22,7 @@ import uuid
 import zlib
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import fresh_path, partitions, small_batches, stored
@@ -165,6 +165,15 @@ class Reader:
             held = held[n * 4 :]
 
 
+def _qualified(spark: SparkSession, folder: str) -> str:
+    """``folder`` with the scheme of the file system that Spark takes it to be on."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    name = where.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(where).toString()
+    if name.startswith("file:"):
+        name = "file://" + name.removeprefix("file:").removeprefix("//")
+    return "s3" + name.removeprefix("s3a") if name.startswith("s3a://") else name
+
+
 def _opened(uri: str):
     from pyarrow import fs
 
@@ -181,8 +190,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, folder:
     """
     spark = docs.sparkSession
     small_batches(spark)
-    folder = folder or fresh_path(spark, "token-files")
-    folder = folder if "://" in folder else "file://" + folder.removeprefix("file:")
+    folder = _qualified(spark, folder or fresh_path(spark, "token-files"))
     tie = F.xxhash64("text")
     ranged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(partitions(spark), F.col("doc_id"), tie).sortWithinPartitions(F.col("doc_id"), tie)
 

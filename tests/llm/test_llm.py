@@ -244,6 +244,11 @@ def test_rotation(spark):
                 assert text[r["mask_start"] : r["mask_end"]].endswith("<|im_end|>") and r["rendered"].startswith("<|im_start|>assistant\n")
     assert len(views[(1, "ann")]) == 6 and views[(1, "ann")][0]["role"] == "system"
     assert "".join(r["rendered"] for r in views[(1, "bob")]).count("<|im_end|>") == 6
+    whole = {(r["conv_id"], r["perspective"]): r for r in chat.dialogues(chat.rotate_perspectives(turns)).collect()}
+    assert {k: r["text"] for k, r in whole.items()} == {k: "".join(r["rendered"] for r in found) for k, found in views.items()}
+    assert all(r["text"][m["start"] : m["end"]].endswith("<|im_end|>") for r in whole.values() for m in r["masks"])
+    ids = spark.createDataFrame([(None, 0, "a", "x"), ("", 0, "b", "y")], "conv_id string, turn long, role string, text string")
+    assert {(r["conv_id"], r["perspective"]) for r in chat.rotate_perspectives(ids).collect()} == {(None, "a"), ("", "b")}
     assert chat.rotate_perspectives(turns.limit(0)).count() == 0
 
 
@@ -444,6 +449,77 @@ def test_lines_of_odd_documents(spark):
     assert linededup.duplicate_lines(odd_documents(spark).limit(0)).count() == 0
 
 
+def plain_hash(data):
+    """The hash of a chunk, byte by byte with Python's integers."""
+    full, base = (1 << 64) - 1, 0x9E3779B97F4A7C15
+
+    def mix(x):
+        x ^= x >> 30
+        x = x * 0xBF58476D1CE4E5B9 & full
+        x ^= x >> 27
+        x = x * 0x94D049BB133111EB & full
+        return x ^ x >> 31
+
+    total = sum(mix((b + 1) * base & full) * pow(base, k, 1 << 64) for k, b in enumerate(data))
+    return mix((total + len(data) * 0x94D049BB133111EB) & full), mix(total & full)
+
+
+def plain_fingerprint(text):
+    """Chunks found by going through the bytes one at a time."""
+    data, letters = text.encode(), "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    block = 1
+    while block * 64 < len(data):
+        block *= 2
+
+    def chunks(size):
+        found, start = [], 0
+        for k in range(7, len(data) + 1):
+            if plain_hash(data[k - 7 : k])[1] % size == size - 1:
+                found.append(data[start:k])
+                start = k
+        return found, data[start:]
+
+    while block > 1 and len(chunks(block)[0]) < 32:
+        block //= 2
+
+    def signature(size, length):
+        found, rest = chunks(size)
+        if len(found) > length - 1:
+            rest = b"".join(found[length - 1 :]) + rest
+        return "".join(letters[plain_hash(c)[0] >> 58] for c in [*found[: length - 1], rest] if c)
+
+    return f"{block}:{signature(block, 64)}:{signature(2 * block, 32)}"
+
+
+def plain_likeness(a, b):
+    """Edit distance by the whole table, insertions and deletions costing one."""
+    (p, a1, a2), (q, b1, b2) = a.split(":"), b.split(":")
+    if a == b:
+        return 1.0
+
+    def of(x, y):
+        if not any(x[i : i + 4] in y for i in range(len(x) - 3)):
+            return 0.0
+        table = [[i + j if not i * j else 0 for j in range(len(y) + 1)] for i in range(len(x) + 1)]
+        for i in range(1, len(x) + 1):
+            for j in range(1, len(y) + 1):
+                table[i][j] = table[i - 1][j - 1] if x[i - 1] == y[j - 1] else 1 + min(table[i - 1][j], table[i][j - 1])
+        return 1 - table[-1][-1] / (len(x) + len(y))
+
+    pairs = {0: [(a1, b1), (a2, b2)], 1: [(a1, b2)], -1: [(a2, b1)]}
+    return max((of(x, y) for x, y in pairs.get(int(p).bit_length() - int(q).bit_length(), [])), default=0.0)
+
+
+def test_fingerprints_equal_plain_code():
+    rng = random.Random(12)
+    texts = ["", "a", "short", "é" * 40, "z" * 900] + ["".join(rng.choices("abcdefghij klmnop", k=rng.randint(5, 3000))) for _ in range(25)]
+    texts += [t[: len(t) // 2] + "changed" + t[len(t) // 2 :] for t in texts[-10:]]
+    marks = [fingerprint.fingerprint(t) for t in texts]
+    assert marks == [plain_fingerprint(t) if t else "1::" for t in texts]
+    pairs = [(a, b) for i, a in enumerate(marks) for b in marks[i : i + 12]] + list(zip(marks[-20:-10], marks[-10:], strict=True))
+    assert all(abs(fingerprint.likeness(a, b) - plain_likeness(a, b)) < 1e-12 for a, b in pairs)
+
+
 def test_fingerprints(spark):
     docs = odd_documents(spark).where("doc_id is not null").dropDuplicates(["doc_id"])
     rows = fingerprint.fingerprint_documents(docs).orderBy(F.desc("doc_id")).collect()
@@ -474,7 +550,7 @@ def test_neighbours(spark):
     x = rng.standard_normal((1200, 16)).round(3)
     x[700:760] = x[3]
     rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)]
-    rows += [(5000, None), (5050, [0.0] * 16), (5100, [float("nan")] * 16), (5150, [1.0, None] + [0.0] * 14), (5200, [1.0]), (None, [1.0] * 16)]
+    rows += [(5000, None), (5050, [0.0] * 16), (5100, [float("nan")] * 16), (5150, [1.0, None] + [0.0] * 14), (5200, [1.0]), (5250, [2.0]), (5300, [-1.0]), (None, [1.0] * 16)]
     vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     found = {}
     for r in ann.nearest_neighbours(vectors, F.col("vec_id") % 50 == 0).collect():
@@ -489,6 +565,7 @@ def test_neighbours(spark):
         assert [g[0] for g in got] == [1, 2, 3, 4, 5]
         assert all(abs(score[g[1]] - g[2]) < 1e-12 for g in got) and [g[2] for g in got] == sorted((g[2] for g in got), reverse=True)
         hits += len({g[1] for g in got} & set(best))
+    assert found.pop(5200) == [(1, 5250, 1.0), (2, 5300, -1.0)] and found.pop(5250)[0][1] == 5200 and len(found.pop(5300)) == 2
     assert set(found) == set(range(0, 1200, 50)) and hits / (5 * len(found)) >= 0.9
     assert [g[1] for g in sorted(found[700])] == [3, 701, 702, 703, 704]
     few = ann.nearest_neighbours(vectors.where("vec_id < 3"), F.col("vec_id") == 0).collect()
@@ -514,6 +591,50 @@ def test_neighbours_with_repeated_ids(spark):
     assert [g[0] for g in got] == [1, 2, 3, 4, 5] and got[0][1] == 1 and len({g[1] for g in got}) == 5
 
 
+def plain_tokens(text):
+    """Slots of a text's tokens, found sign by sign."""
+    found, kinds = [], []
+    for b in (text or "").encode():
+        c = chr(b)
+        kind = 0 if b in (0x20, *range(0x09, 0x0E)) else 1 if c.isascii() and c.isalnum() or b > 127 else 2
+        if kind and kinds and kinds[-1] == kind:
+            found[-1].append(b)
+        elif kind:
+            found.append([b])
+        kinds.append(kind)
+    return [plain_hash(bytes(t).lower())[0] % quality.SLOTS for t in found]
+
+
+def test_quality_equals_plain_code(spark):
+    texts = ["One two two!", "", None, "a, b; one two", "1.5 É x", "two " * 30, "line\nline two\n"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    index, tokens = quality.index_matrix(), [plain_tokens(t) for t in texts]
+    assert {tuple(np.unique(np.abs(r).sum())) for r in index[:50]} and (np.abs(index).sum(axis=1) <= quality.NONZERO).all()
+    sums = np.zeros((quality.SLOTS, quality.WIDTH))
+    for slots in tokens:
+        for a, b in zip(slots, slots[1:], strict=False):
+            sums[a] += index[b]
+            sums[b] += index[a]
+    contexts = quality.corpus_contexts(docs.repartition(3))
+    norms = np.linalg.norm(sums, axis=1)
+    assert np.allclose(contexts, sums / np.maximum(norms, 1e-6)[:, None], atol=1e-6)
+    vectors = np.concatenate([index, contexts], axis=1)
+    x = quality.pooled(pa.array(texts), vectors)
+    for row, text, slots in zip(x, texts, tokens, strict=True):
+        data = (text or "").encode()
+        mean = np.mean([vectors[s] for s in slots], axis=0) if slots else np.zeros(vectors.shape[1])
+        lines, capitals = data.count(b"\n"), sum(65 <= b <= 90 for b in data)
+        signs = sum(33 <= b < 127 and not chr(b).isalnum() for b in data)
+        shape = [np.log1p(len(slots)), np.log1p(len(data)), np.log1p(lines), *(v / max(1, len(data)) for v in (len(slots), lines, capitals, signs))]
+        assert np.allclose(row, [*mean, *shape], atol=1e-6), text
+    net = quality.fit_network(x, np.array([1, 0, 0, 1, 1, 0, 1], float))
+    for row, score in zip(x, net.score(x), strict=True):
+        z = [min(8, max(-8, (v - m) / s)) for v, m, s in zip(row, net.mean, net.scale, strict=True)]
+        hidden = [np.tanh(sum(v * w for v, w in zip(z, column, strict=True)) + b) for column, b in zip(net.first.T, net.first_bias, strict=True)]
+        logit = sum(h * w for h, w in zip(hidden, net.second, strict=True)) + net.second_bias
+        assert abs(score - 1 / (1 + np.exp(-logit / net.temperature))) < 1e-9
+
+
 def test_quality_on_held_out_labels(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
@@ -572,6 +693,26 @@ def test_pipeline(spark):
     assert left.columns == docs.columns and {r["doc_id"] for r in left.collect()} == set(components.values())
     packed = corpus_pipeline.run(spark, DATA).collect()
     assert check_packed(packed, 4096) <= sum(r["length"] for r in packed) / 4096 + 2
+    # The chain: what plain Python makes of the first stage's rows.
+    rows = [(r["doc_id"], r["text"]) for r in good.collect()]
+    gone, made = brute_lines(rows), []
+    for i, text in rows:
+        left = [x for k, x in enumerate(text.split("\n")) if (i, k) not in gone]
+        if len(left) == len(text.split("\n")) or any(x.strip(" \t\r") for x in left):
+            made.append((i, "\n".join(left)))
+    components, _ = brute_components(made, 5, 80, 100)
+    tokenizer = words.hf_tokenizer(P.path("word_bpe_49k.json"))
+    ids = {i: [*tokenizer.encode(text, add_special_tokens=False).ids, 1] for i, text in made if components.get(i, i) == i}
+    expected = {(i, k, zlib.crc32(np.array(x[k * 4096 : k * 4096 + 4096], "<u4").tobytes())) for i, x in ids.items() for k in range(-(-len(x) // 4096))}
+    assert {(r["doc_id"], r["piece"], r["ids_crc32"]) for r in packed} == expected
+
+
+def test_stages_of_odd_and_empty_tables(spark):
+    odd = odd_documents(spark)
+    for name, stage in corpus_pipeline.STAGES:
+        made = stage(spark, odd, DATA)
+        assert made.count() and (made.columns == odd.columns or name == "best-fit packing"), name
+        assert stage(spark, odd.limit(0), DATA).count() == 0, name
 
 
 def test_near_duplicates_are_judged_by_row(spark):
