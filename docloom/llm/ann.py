@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import partitions, stored
+from .common import partitions, stored, trimmed
 
 #: Centroids are fitted on so many vectors at most, those with the smallest hashes, and on so many numbers.
 SAMPLE, SAMPLE_NUMBERS = 16_384, 1 << 22
@@ -176,7 +176,7 @@ def _search(clean: DataFrame, is_query, k: int, recall: float, d: int, count: in
                 packed = pa.array([r.tobytes() for r in x], pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(nearest, pa.int32()), batch.column("vec_id"), packed], names=["list", "vec_id", "x"])
 
-    index = stored(clean.mapInArrow(assign, "list int, vec_id long, x binary"), "vector-lists")
+    index = stored(clean.mapInArrow(trimmed(assign), "list int, vec_id long, x binary"), "vector-lists")
     sizes = {r[0]: r[1] for r in index.groupBy("list").count().collect()}  # a row for each list
     fresh = {r[0]: r[1] for r in index.groupBy("vec_id").agg(F.min("list").alias("list")).groupBy("list").count().collect()}
     filled, new_ids = (np.array([n.get(i, 0) for i in range(lists)]) for n in (sizes, fresh))  # an id of several lists is new in one
@@ -193,7 +193,7 @@ def _search(clean: DataFrame, is_query, k: int, recall: float, d: int, count: in
                 row, column = np.nonzero(wanted & (filled[order] > 0))
                 yield pa.RecordBatch.from_arrays([pa.array(order[row, column], pa.int32()), batch.column("vec_id").take(pa.array(row)), batch.column("x").take(pa.array(row))], names=["list", "vec_id", "x"])
 
-    asked = index.where(is_query).mapInArrow(probe, "list int, vec_id long, x binary")
+    asked = index.where(is_query).mapInArrow(trimmed(probe), "list int, vec_id long, x binary")
     asked = stored(asked.dropDuplicates(["list", "vec_id", "x"]), "vector-queries")
     splits = spark.createDataFrame([(i, -(-n // MEMBERS)) for i, n in sizes.items()], "list int, splits long")
     loads = asked.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / QUERIES).alias("loads"))
@@ -231,4 +231,4 @@ def _search(clean: DataFrame, is_query, k: int, recall: float, d: int, count: in
                 sides[role].append((vec_id, x))
         yield batch_of(found(sides))
 
-    return together.mapInArrow(search, "query_id long, vec_id long, score double")
+    return together.mapInArrow(trimmed(search), "query_id long, vec_id long, score double")

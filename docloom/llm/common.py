@@ -73,7 +73,7 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 #: Rows and bytes that Spark hands to Python at once; texts can be long. One longer text is a batch of its own.
-BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -83,6 +83,30 @@ def small_batches(spark: SparkSession) -> None:
             spark.conf.set(key, most)
 
 
+def trimmed(run):
+    """``run`` (for mapInArrow), giving freed memory back when a task ends: its worker stays for the tasks of later steps."""
+
+    def task(batches):
+        try:
+            yield from run(batches)
+        finally:
+            _give_back()
+
+    return task
+
+
+def _give_back() -> None:
+    import ctypes
+
+    import pyarrow as pa
+
+    _POWERS.clear()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

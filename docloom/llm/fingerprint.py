@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, partitions, powers, segment_hash, segment_sums, small_batches
+from .common import mix64, partitions, powers, segment_hash, segment_sums, small_batches, trimmed
 from .words import rows_of
 
 WINDOW, LEAST_BLOCK, LENGTH, COMMON = 7, 1, 64, 4
@@ -155,4 +155,4 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
             columns = list(zip(*rows, strict=True)) or [[]] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
 
-    return dealt.select("doc_id", "text", "range", "guest").mapInArrow(run, _FOUND)
+    return dealt.select("doc_id", "text", "range", "guest").mapInArrow(trimmed(run), _FOUND)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import partitions, small_batches, stored
+from .common import partitions, small_batches, stored, trimmed
 from .words import TextEncoder, word_pieces
 
 #: Pieces that a process holds: fewer than elsewhere, as packing ends a pipeline whose workers are still there.
@@ -226,7 +226,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: in
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
     small_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _PIECES + ", ids array<long>" * with_ids)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(trimmed(run), _PIECES + ", ids array<long>" * with_ids)
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1, with_ids: bool = False) -> DataFrame:

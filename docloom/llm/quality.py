@@ -15,12 +15,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, segment_hash, segment_sums, small_batches, stored, utf8_buffer
+from .common import mix64, segment_hash, segment_sums, small_batches, stored, trimmed, utf8_buffer
 
 SLOTS, WIDTH, NONZERO = 1 << 14, 32, 4
 #: Labelled rows that the network is fitted on, at most: those with the smallest hashes of their ids.
 SAMPLE = 20_000
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 #: Context sums travel in blocks of so many slots; vectors are gathered for so many tokens at once.
 BLOCK_SLOTS, GATHERED = 256, 1 << 14
 
@@ -107,7 +107,7 @@ def corpus_contexts(docs: DataFrame) -> np.ndarray:
     small_batches(docs.sparkSession)
     blocks = SLOTS // BLOCK_SLOTS
     schema = "block int, sums binary"
-    sums = docs.select("text").mapInArrow(context_sums, schema).repartition(blocks, "block").mapInArrow(_added, schema)
+    sums = docs.select("text").mapInArrow(trimmed(context_sums), schema).repartition(blocks, "block").mapInArrow(trimmed(_added), schema)
     out = np.zeros((SLOTS, WIDTH))
     for row in sums.collect():  # a block each, 2 MB in all
         out[row["block"] * BLOCK_SLOTS : (row["block"] + 1) * BLOCK_SLOTS] += np.frombuffer(row["sums"], "<f4").reshape(-1, WIDTH)
@@ -225,7 +225,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, corpus: DataFrame | None = N
             packed = pa.array([r.tobytes() for r in x], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality").cast(pa.int32()), packed], names=["doc_id", "quality", "x"])
 
-    found = rows.select("doc_id", F.col("quality").cast("int").alias("quality"), "text").mapInArrow(features, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, quality int, x binary")
+    found = rows.select("doc_id", F.col("quality").cast("int").alias("quality"), "text").mapInArrow(trimmed(features), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, quality int, x binary")
     found = found.toPandas().sort_values("doc_id", kind="stable")  # the bounded sample, one row for each labelled document
     width = vectors.shape[1] + 7
     x = np.frombuffer(b"".join(found["x"]), np.float32).reshape(-1, width).astype(float)
@@ -261,5 +261,5 @@ def score_quality(
 
     base = docs if keep_columns else docs.select("doc_id", "text")
     kept = base.schema.fields if keep_columns else [base.schema["doc_id"]]
-    scored = base.mapInArrow(run, T.StructType([*kept, T.StructField(score_name, T.DoubleType()), T.StructField(predicted_name, T.IntegerType())]))
+    scored = base.mapInArrow(trimmed(run), T.StructType([*kept, T.StructField(score_name, T.DoubleType()), T.StructField(predicted_name, T.IntegerType())]))
     return scored if keep_columns else scored.select("doc_id", held_out().alias("held_out"), score_name, predicted_name)

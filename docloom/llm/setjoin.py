@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import key_filter, maybe_in, mix64, partitions, release, segment_hash, segment_sums, small_batches, stored, sweep, utf8_buffer
+from .common import key_filter, maybe_in, mix64, partitions, release, segment_hash, segment_sums, small_batches, stored, sweep, trimmed, utf8_buffer
 from .components import connected_components
 
 _U = np.uint64
@@ -40,7 +40,7 @@ _LOW48 = _U((1 << 48) - 1)
 #: Low bits of a signature that hold its level.
 _LEVEL = _U(127)
 #: Bytes of text hashed at once, signatures held before they are sent, tokens of a group, tokens of its queries in one task.
-CHUNK_BYTES, HELD, GROUP_TOKENS, QUERY_TOKENS = 1 << 20, 2_000_000, 1 << 16, 1 << 20
+CHUNK_BYTES, HELD, GROUP_TOKENS, QUERY_TOKENS = 1 << 18, 1_000_000, 1 << 16, 1 << 20
 #: A set counts as so many tokens at least, which bounds the sets of a group; queries compared with a group at once.
 LEAST_LOAD, QUERY_ROWS = 64, 1024
 
@@ -553,8 +553,8 @@ def jaccard_components(docs: DataFrame, n: int = 5, least: int = 80, of: int = 1
     small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     tasks = partitions(spark)
-    scanned = docs.mapInArrow(_scan(n, least, of, 2 * tasks), _SCANNED)
-    table = stored(scanned.repartition(tasks, "bucket").mapInArrow(_shared, _SCANNED).drop("bucket", "payload"), "signatures")
+    scanned = docs.mapInArrow(trimmed(_scan(n, least, of, 2 * tasks)), _SCANNED)
+    table = stored(scanned.repartition(tasks, "bucket").mapInArrow(trimmed(_shared), _SCANNED).drop("bucket", "payload"), "signatures")
     sweep(spark)
     docs_of = table.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("n_shingles"), F.col("c").alias("f1"), F.col("d").alias("f2"))
     real = docs_of.where("n_shingles > 0 and doc_id is not null")
@@ -571,10 +571,10 @@ def jaccard_components(docs: DataFrame, n: int = 5, least: int = 80, of: int = 1
     # Token sets of the candidates only; the fixed-size filter spares other texts a shuffle.
     wanted = maybe_in(docs.where("doc_id is not null"), F.col("doc_id"), key_filter(grouped, "rep"))
     wanted = wanted.join(grouped.select("rep", "f1", "f2", "gid", "copies"), wanted["doc_id"] == grouped["rep"]).select("rep", "f1", "f2", "gid", "copies", "text")
-    tokens = stored(wanted.mapInArrow(_sets_of(n), _SETS), "candidate-tokens")
+    tokens = stored(wanted.mapInArrow(trimmed(_sets_of(n)), _SETS), "candidate-tokens")
     sweep(spark)
     members = tokens.join(plan, "gid").select("gid", "asked", "rep", "f1", "copies", "tokens")
-    matrix = stored(members.repartition(tasks, "gid").sortWithinPartitions("gid").mapInArrow(_matrix(least, of), _MATRIX), "token-group-matrix")
+    matrix = stored(members.repartition(tasks, "gid").sortWithinPartitions("gid").mapInArrow(trimmed(_matrix(least, of)), _MATRIX), "token-group-matrix")
 
     # Unions bind the queries; only groups that one of them reaches are opened.
     asked = maybe_in(tokens.select("rep", "f1", "copies", "tokens"), F.col("f1"), key_filter(pairs, "f1"))
@@ -583,12 +583,12 @@ def jaccard_components(docs: DataFrame, n: int = 5, least: int = 80, of: int = 1
     none = F.lit(0).cast("long")
     unions = matrix.where("tokens is not null").join(plan, "gid").select("gid", _chunks(), F.lit(0).alias("role"), none.alias("rep"), none.alias("f1"), none.alias("copies"), "tokens")
     together = unions.unionByName(asked.withColumn("role", F.lit(1)).select(*columns)).repartition(tasks, "gid", "chunk").sortWithinPartitions("gid", "chunk", "role")
-    reached = stored(together.mapInArrow(_bound(least, of), "gid long, chunk long, rep long, f1 long, copies long, tokens binary"), "group-bounds")
+    reached = stored(together.mapInArrow(trimmed(_bound(least, of)), "gid long, chunk long, rep long, f1 long, copies long, tokens binary"), "group-bounds")
     sweep(spark)
     open_ = reached.select("gid", "chunk").distinct()
     members = tokens.join(open_, "gid").withColumn("role", F.lit(0)).select(*columns)
     together = members.unionByName(reached.withColumn("role", F.lit(1)).select(*columns)).repartition(tasks, "gid", "chunk").sortWithinPartitions("gid", "chunk")
-    opened = together.mapInArrow(_opened(least, of), "a long, b long, links long")
+    opened = together.mapInArrow(trimmed(_opened(least, of)), "a long, b long, links long")
     links = stored(matrix.where("a is not null").select("a", "b", "links").unionByName(opened), "links")
     release(grouped, pairs, plan, tokens, matrix, reached)
     sweep(spark)

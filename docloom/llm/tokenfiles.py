@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_path, partitions, small_batches, stored
+from .common import fresh_path, partitions, small_batches, stored, trimmed
 from .words import TextEncoder, byte_pieces
 
 MAGIC, BLOCK, PERCENTILE = b"PFORIDS1", 256, 0.9
@@ -216,7 +216,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, folder:
             row = [[number], [f"{folder}/{name}"], [count], [total]]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in row], names=["file_no", "path", "n_docs", "n_tokens"])
 
-    return stored(ranged.mapInArrow(run, "file_no long, path string, n_docs long, n_tokens long"), "token-manifest")
+    return stored(ranged.mapInArrow(trimmed(run), "file_no long, path string, n_docs long, n_tokens long"), "token-manifest")
 
 
 def read_token_files(manifest: DataFrame, with_ids: bool = False) -> DataFrame:
@@ -256,4 +256,4 @@ def read_token_files(manifest: DataFrame, with_ids: bool = False) -> DataFrame:
                 yield batch_of(rows)
 
     paths = spark.createDataFrame(files, "path string, start long")
-    return paths.repartition(max(1, len(files))).mapInArrow(run, schema)
+    return paths.repartition(max(1, len(files))).mapInArrow(trimmed(run), schema)

@@ -18,7 +18,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Pieces and ids that the table of a process holds at most; it is emptied when full (about 80 MB).
 PIECES, HELD_IDS = 1_200_000, 8_000_000
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 
 _KIND = np.full(256, 3, np.uint8)  # 0 white space, 1 letters, 2 digits, 3 other ASCII signs, 4 the rest
 _KIND[[0x20, *range(0x09, 0x0E)]] = 0
