@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .query import with_text_content
+from ..model import NODES
+from .edit import renumber
+from .query import inline_text, with_text_content, with_top
 
 # What each format cannot show, and what Markdown cannot bring back.
 UNSUPPORTED = {"docx": ("drawing",), "hwpx": ("drawing", "footnote", "endnote"), "md": ("drawing", "text_art", "chart"), "html": ("drawing", "text_art", "chart")}
@@ -126,23 +128,55 @@ def merged_order(merged: DataFrame) -> DataFrame:
 
 
 def merge_documents(original: DataFrame, edited: DataFrame) -> DataFrame:
-    """The original's nodes after the merge: texts taken over, removed subtrees gone, added blocks at their place."""
-    from ..model import NODES
-    from .edit import renumber
+    """The original's nodes after the merge: texts taken over, removed subtrees gone, added blocks at their place.
 
+    Paragraphs of table cells and list items, found by the ids of cell and item, take over changed
+    texts as well; paragraphs that a cell has more than before are not added.
+    """
     plan = merge_diff(original, edited)
     order = merged_order(plan)
     gone = plan.where("change_type = 'removed'").select("doc_id", "node_id")
-    top = original.where("depth = 0").join(gone, ["doc_id", "node_id"], "left_anti").select(F.col("doc_id").alias("_d"), "node_id", F.col("seq").alias("_a"), F.col("seq_end").alias("_b"))
-    top = top.join(order.where("change_type <> 'added'").select(F.col("doc_id").alias("_d"), "node_id", "position", F.when(F.col("change_type") == "text_edit", F.col("new_text")).alias("_text")), ["_d", "node_id"]).drop("node_id")
-    kept = original.join(top, original["doc_id"].eqNullSafe(F.col("_d")) & F.col("seq").between(F.col("_a"), F.col("_b")))
+    top = original.where("depth = 0").join(gone, ["doc_id", "node_id"], "left_anti")
+    top = top.join(order.where("change_type <> 'added'").select("doc_id", "node_id", "position"), ["doc_id", "node_id"])
+    kept = with_top(original, top, ["position"])
     incoming = edited.join(plan.where("change_type = 'text_edit'").select("doc_id", "node_id"), ["doc_id", "node_id"], "left_semi").select(F.col("doc_id").alias("_e"), F.col("node_id").alias("_n"), F.col("inlines").alias("_inlines"), F.col("text").alias("_new"))
     kept = kept.join(incoming, (F.col("doc_id") == F.col("_e")) & (F.col("node_id") == F.col("_n")), "left")
     edit = F.col("_n").isNotNull()
     kept = kept.withColumns({"text": F.when(edit, F.col("_new")).otherwise(F.col("text")), "inlines": F.when(edit, F.col("_inlines")).otherwise(F.col("inlines"))}).select(*NODES.names, "position")
+    nested = nested_edits(original, edited).select(F.col("doc_id").alias("_e"), F.col("seq").alias("_s"), F.col("inlines").alias("_inlines"))
+    kept = kept.join(nested, F.col("doc_id").eqNullSafe(F.col("_e")) & (F.col("seq") == F.col("_s")), "left")
+    kept = kept.withColumn("inlines", F.when(F.col("_s").isNotNull(), F.col("_inlines")).otherwise(F.col("inlines"))).select(*NODES.names, "position")
     added = edited.where("depth = 0").join(order.where("change_type = 'added'").select("doc_id", "node_id", "position"), ["doc_id", "node_id"])
-    roots = added.select(F.col("doc_id").alias("_d"), F.col("seq").alias("_a"), F.col("seq_end").alias("_b"), "position")
-    shift = 1 << 24  # keeps the places of the two copies apart until they are numbered anew
-    new = edited.join(roots, edited["doc_id"].eqNullSafe(F.col("_d")) & F.col("seq").between(F.col("_a"), F.col("_b"))).select(*NODES.names, "position")
-    new = new.withColumns({"seq": F.col("seq") + shift, "parent_seq": F.col("parent_seq") + shift})
-    return renumber(kept.unionByName(new), [F.col("position"), F.col("seq")])
+    new = with_top(edited, added, ["position"]).select(*NODES.names, "position")
+    # Places of the added nodes are negative until all are numbered anew, which keeps the two copies apart.
+    new = new.withColumns({"_order": F.col("seq"), "seq": -1 - F.col("seq"), "parent_seq": -1 - F.col("parent_seq")})
+    return renumber(kept.withColumn("_order", F.col("seq")).unionByName(new), [F.col("position"), F.col("_order")])
+
+
+def nested_edits(original: DataFrame, edited: DataFrame) -> DataFrame:
+    """doc_id, node_id (of the cell or item), seq (of the original's paragraph or item), inlines and new_text where the text changed.
+
+    A cell's paragraphs are matched by their place in it. Where an id repeats, the first node has it.
+    """
+
+    def texts(nodes: DataFrame) -> DataFrame:
+        first = Window.partitionBy("doc_id", "kind", "node_id").orderBy("seq")
+        held = nodes.where("kind in ('table_cell', 'list_item') and node_id is not null").withColumn("_first", F.row_number().over(first)).where("_first = 1")
+        items = held.where("kind = 'list_item'").select("doc_id", "kind", "node_id", F.lit(0).alias("place"), "seq", "inlines")
+        cells = held.where("kind = 'table_cell'").select("doc_id", "kind", "node_id", F.col("seq").alias("_cell"))
+        inner = nodes.where("type = 'paragraph' and slot = 'content'").select("doc_id", F.col("parent_seq").alias("_cell"), "seq", "inlines")
+        place = F.row_number().over(Window.partitionBy("doc_id", "_cell").orderBy("seq"))
+        inner = inner.withColumn("place", place).join(cells, ["doc_id", "_cell"])
+        both = items.unionByName(inner.select("doc_id", "kind", "node_id", "place", "seq", "inlines"))
+        return both.withColumn("said", F.trim(inline_text(F.col("inlines"))))
+
+    a, b = texts(original), texts(edited).select("doc_id", "kind", "node_id", "place", F.col("inlines").alias("_inlines"), F.col("said").alias("new_text"))
+    both = a.join(b, ["doc_id", "kind", "node_id", "place"]).where("said <> new_text")
+    return both.select("doc_id", "node_id", "seq", F.col("_inlines").alias("inlines"), "new_text")
+
+
+def merge_changes(original: DataFrame, edited: DataFrame) -> DataFrame:
+    """doc_id, node_id, change_type and description of all that a merge does: blocks, then texts of cells and items."""
+    blocks = merge_diff(original, edited).where("change_type <> 'kept'").select("doc_id", "node_id", "change_type", "description")
+    nested = nested_edits(original, edited).select("doc_id", "node_id", F.lit("text_edit").alias("change_type"), F.substring("new_text", 1, 40).alias("description"))
+    return blocks.unionByName(nested)

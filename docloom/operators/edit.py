@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..model import INLINE_NAMES, NODES
+from .query import get_blocks, marked_inside
 
 
 #: Levels of nesting that an edited document may have.
@@ -37,9 +38,34 @@ def renumber(nodes: DataFrame, order: list[Column]) -> DataFrame:
 
 def remove_blocks(nodes: DataFrame, targets: DataFrame) -> DataFrame:
     """Nodes without the subtrees of ``targets`` (doc_id, node_id)."""
-    roots = nodes.join(targets.select("doc_id", "node_id").distinct(), ["doc_id", "node_id"], "left_semi").select(F.col("doc_id").alias("_d"), F.col("seq").alias("_a"), F.col("seq_end").alias("_b"))
-    inside = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("seq") >= F.col("_a")) & (F.col("seq") <= F.col("_b"))
-    return renumber(nodes.join(roots, inside, "left_anti"), [F.col("seq")])
+    roots = nodes.join(targets.select("doc_id", "node_id").distinct(), ["doc_id", "node_id"], "left_semi")
+    return renumber(marked_inside(nodes, roots).where("not _inside"), [F.col("seq")])
+
+
+def get_block_format(nodes: DataFrame, node_id: str) -> DataFrame:
+    """doc_id, name and value of the format of the first block of that id in each document."""
+    found = get_blocks(nodes, node_id).select("doc_id", F.explode(F.map_entries("attrs")).alias("e"))
+    return found.where(F.col("e.key").startswith("format.")).select("doc_id", F.substring("e.key", len("format.") + 1, 1000).alias("name"), F.col("e.value").alias("value"))
+
+
+def set_block_format(nodes: DataFrame, formats: DataFrame) -> DataFrame:
+    """Updates blocks' formats: ``formats`` has doc_id, node_id and fmt (map<string,string>; a null value takes a name away).
+
+    Names that are not given keep their values; of several rows for a block the last of each name counts.
+    """
+    each = formats.select("doc_id", "node_id", F.explode("fmt").alias("name", "value")).groupBy("doc_id", "node_id", "name").agg(F.last("value").alias("value"))
+    given = each.groupBy("doc_id", "node_id").agg(F.map_from_entries(F.collect_list(F.struct(F.concat(F.lit("format."), "name").alias("k"), F.col("value").alias("v")))).alias("_fmt"))
+    joined = nodes.join(given, ["doc_id", "node_id"], "left")
+    attrs = F.coalesce("attrs", F.create_map().cast("map<string,string>"))
+    kept = F.map_filter(attrs, lambda k, v: ~F.map_contains_key(F.col("_fmt"), k))
+    new = F.map_concat(kept, F.map_filter("_fmt", lambda k, v: v.isNotNull()))
+    return joined.withColumn("attrs", F.when(F.col("_fmt").isNull(), F.col("attrs")).otherwise(new)).select(*nodes.columns)
+
+
+def set_metadata(metadata: DataFrame, changes: DataFrame) -> DataFrame:
+    """doc_id, name and value: ``metadata`` with the rows of ``changes`` (same columns) in place of equal names; a null value takes one away."""
+    new = changes.groupBy("doc_id", "name").agg(F.last("value").alias("value"))
+    return metadata.join(new, ["doc_id", "name"], "left_anti").select("doc_id", "name", "value").unionByName(new.where("value is not null"))
 
 
 def add_blocks(nodes: DataFrame, blocks: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.scalars import block_number
 from ..model import CONTAINERS
@@ -66,11 +67,30 @@ def get_blocks(nodes: DataFrame, node_id: str | Column) -> DataFrame:
     return wanted.groupBy("doc_id").agg(F.min_by(F.struct(*[c for c in nodes.columns if c != "doc_id"]), "seq").alias("n")).select("doc_id", "n.*")
 
 
+def marked_inside(nodes: DataFrame, roots: DataFrame, strict: bool = False) -> DataFrame:
+    """``nodes`` with a boolean ``_inside``: at or (``strict``: only) below one of ``roots`` (doc_id, seq).
+
+    A running maximum of the roots' ends, in document order: linear in the nodes, whatever the nesting.
+    """
+    marks = roots.select(F.col("doc_id").alias("_d"), F.col("seq").alias("_root")).distinct()
+    met = nodes.join(marks, nodes["doc_id"].eqNullSafe(F.col("_d")) & (nodes["seq"] == F.col("_root")), "left")
+    so_far = Window.partitionBy("doc_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1 if strict else Window.currentRow)
+    reach = F.max(F.when(F.col("_root").isNotNull(), F.col("seq_end"))).over(so_far)
+    return met.withColumn("_inside", F.coalesce(reach >= F.col("seq"), F.lit(False))).select(*nodes.columns, "_inside")
+
+
+def with_top(nodes: DataFrame, tops: DataFrame, names: list[str]) -> DataFrame:
+    """Nodes of the top-level blocks ``tops`` (doc_id, seq) with the columns ``names`` of their block."""
+    known = tops.select(F.col("doc_id").alias("_d"), F.col("seq").alias("_top"), F.struct(*names).alias("_of"))
+    met = nodes.join(known, nodes["doc_id"].eqNullSafe(F.col("_d")) & (nodes["seq"] == F.col("_top")), "left")
+    so_far = Window.partitionBy("doc_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    last = F.last(F.when(F.col("depth") == 0, F.struct(F.col("_of").alias("of"))), ignorenulls=True).over(so_far)
+    return met.withColumn("_last", last).where("_last.of is not null").select(*nodes.columns, *[F.col(f"_last.of.{n}").alias(n) for n in names])
+
+
 def subtree(nodes: DataFrame, roots: DataFrame) -> DataFrame:
-    """The nodes at and below ``roots`` (doc_id, seq, seq_end)."""
-    r = roots.select(F.col("doc_id").alias("_d"), F.col("seq").alias("_a"), F.col("seq_end").alias("_b")).distinct()
-    inside = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("seq") >= F.col("_a")) & (F.col("seq") <= F.col("_b"))
-    return nodes.join(r, inside, "left_semi")
+    """The nodes at and below ``roots`` (doc_id, seq)."""
+    return marked_inside(nodes, roots).where("_inside").drop("_inside")
 
 
 def headings(nodes: DataFrame) -> DataFrame:

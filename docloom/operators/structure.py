@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 
@@ -20,13 +21,17 @@ def sections(nodes: DataFrame) -> DataFrame:
     return top.select("doc_id", "seq", "type", "level", "text", take("seq").alias("section_seq"), take("level").alias("section_level"), take("text").alias("section"))
 
 
-def outline(nodes: DataFrame) -> DataFrame:
-    """Headings with the seq of the heading they are under: the last one before of a smaller level."""
+def outline(nodes: DataFrame, levels: int = 9) -> DataFrame:
+    """Headings with the seq of the heading they are under: the last one before of a smaller level.
+
+    A running last heading for each level up to ``levels``; a deeper heading is an error.
+    """
     found = nodes.where("type = 'heading'").select("doc_id", "seq", "level", "text")
     earlier = _document().rowsBetween(Window.unboundedPreceding, -1)
-    seen = F.collect_list(F.struct("seq", "level")).over(earlier)
-    above = F.filter(seen, lambda h: h["level"] < F.col("level"))
-    return found.withColumn("under", F.try_element_at(above, F.lit(-1))["seq"])
+    lasts = [F.last(F.when(F.col("level") == k, F.col("seq")), ignorenulls=True).over(earlier) for k in range(1, levels)]
+    deep = F.when(F.col("level") > levels, F.raise_error(F.lit(f"a heading is deeper than {levels} levels")).cast("int"))
+    under = deep.when(F.col("level") > 1, F.array_max(F.array(*[F.when(F.col("level") > k, last) for k, last in enumerate(lasts, 1)])))
+    return found.withColumn("under", under)
 
 
 def heading_numbers(nodes: DataFrame, levels: int = 3) -> DataFrame:
@@ -56,24 +61,34 @@ def merge_adjacent_inlines(nodes: DataFrame) -> DataFrame:
     """Neighbouring text inlines of equal style become one."""
     from ..model import INLINE_NAMES
 
-    style = [n for n in INLINE_NAMES if n not in ("text",)]
+    def at(i: Column) -> Column:
+        return F.get(F.col("inlines"), i)
+
+    def opens(i: Column) -> Column:
+        """Whether a run begins at place ``i``."""
+        same = at(i)["type"] == "text"
+        for n in INLINE_NAMES:
+            if n != "text":
+                same = same & at(i)[n].eqNullSafe(at(i - 1)[n])
+        return (i == 0) | ~F.coalesce(same, F.lit(False))
+
+    count = F.size("inlines")
+    runs = nodes.withColumn("_runs", F.when(count > 1, F.filter(F.sequence(F.lit(0), count - 1), opens)))
+    stops = F.concat(F.slice(F.col("_runs"), F.lit(2), F.size("_runs")), F.array(count))
+    spans = F.zip_with("_runs", stops, lambda a, b: F.struct(a.alias("a"), b.alias("b")))
 
-    def step(done: Column, x: Column) -> Column:
-        last = F.try_element_at(done, F.lit(-1))
-        same = (F.size(done) > 0) & (x["type"] == "text")
-        for n in style:
-            same = same & last[n].eqNullSafe(x[n])
-        joined = F.struct(*[(F.concat(F.coalesce(last["text"], F.lit("")), F.coalesce(x["text"], F.lit(""))) if n == "text" else last[n]).alias(n) for n in INLINE_NAMES])
-        kept = F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))
-        return F.when(F.coalesce(same, F.lit(False)), F.concat(kept, F.array(joined))).otherwise(F.concat(done, F.array(x)))
+    def joined(span: Column) -> Column:
+        first = at(span["a"])
+        said = F.array_join(F.transform(F.slice("inlines", span["a"] + 1, span["b"] - span["a"]), lambda x: F.coalesce(x["text"], F.lit(""))), "")
+        alone = span["b"] - span["a"] == 1
+        return F.struct(*[(F.when(alone, first["text"]).otherwise(said) if n == "text" else first[n]).alias(n) for n in INLINE_NAMES])
 
-    empty = F.slice("inlines", 1, 0)
-    return nodes.withColumn("inlines", F.when(F.size("inlines") > 1, F.aggregate(F.col("inlines"), empty, step)).otherwise(F.col("inlines")))
+    return runs.withColumn("inlines", F.when(count > 1, F.transform(spans, joined)).otherwise(F.col("inlines"))).drop("_runs")
 
 
 def repeated_content(lines: DataFrame, unit: str, place: str, share: float = 0.5) -> DataFrame:
     """Texts that stand at the same place in at least ``share`` of the units (pages): running heads and feet."""
-    total = lines.agg(F.count_distinct(unit).alias("units"))
+    total = lines.agg(F.count_distinct(unit).alias("units"))  # one row, whatever the input
     found = lines.groupBy(place, "text").agg(F.count_distinct(unit).alias("in_units"))
     return found.join(F.broadcast(total)).where(F.col("in_units") >= share * F.col("units")).select(place, "text", "in_units")
 
@@ -90,35 +105,45 @@ def dense_ids(df: DataFrame, key: str, value: str, order: str) -> DataFrame:
     return firsts.select(key, value, (F.row_number().over(Window.partitionBy(key).orderBy("first")) - 1).cast("long").alias("id"))
 
 
-def overlapping(boxes: DataFrame, page: str, least: float = 0.0) -> DataFrame:
+def overlapping(boxes: DataFrame, page: str, least: float = 0.0, cell: float = 50.0) -> DataFrame:
     """Pairs of boxes (id, x0, y0, x1, y1) of a page that overlap by more than ``least``; ids ascending.
 
-    An equi-join on the page carries the box conditions, so only boxes of one page meet.
+    Only boxes that share a square of side ``cell`` on the page meet; the square of the overlap's
+    first corner reports a pair, so none comes twice.
     """
-    a, b = boxes.alias("a"), boxes.alias("b")
+
+    def squares(low: str, high: str) -> Column:
+        return F.sequence(F.floor(F.col(low) / cell), F.floor(F.col(high) / cell))
+
+    placed = boxes.where("x1 >= x0 and y1 >= y0").withColumn("_cx", F.explode(squares("x0", "x1"))).withColumn("_cy", F.explode(squares("y0", "y1")))
+    a, b = placed.alias("a"), placed.alias("b")
+    corner = (F.col("a._cx") == F.floor(F.greatest("a.x0", "b.x0") / cell)) & (F.col("a._cy") == F.floor(F.greatest("a.y0", "b.y0") / cell))
     width = F.least("a.x1", "b.x1") - F.greatest("a.x0", "b.x0")
     height = F.least("a.y1", "b.y1") - F.greatest("a.y0", "b.y0")
-    met = (F.col(f"a.{page}") == F.col(f"b.{page}")) & (F.col("a.id") < F.col("b.id")) & (width > 0) & (height > 0)
+    met = (F.col(f"a.{page}") == F.col(f"b.{page}")) & (F.col("a._cx") == F.col("b._cx")) & (F.col("a._cy") == F.col("b._cy")) & corner & (F.col("a.id") < F.col("b.id")) & (width > 0) & (height > 0)
     return a.join(b, met).select(F.col(f"a.{page}").alias(page), F.col("a.id").alias("id"), F.col("b.id").alias("other"), (width * height).alias("area")).where(F.col("area") > least)
 
 
 def paginate(blocks: DataFrame, height: str, page_height: float) -> DataFrame:
     """Adds ``page``: blocks fill a page until one no longer fits; a page break block ends it.
 
-    A fold over each document's blocks, in document order; a block taller than a page has one of its own.
+    Goes once through each document's blocks, in document order; a block taller than a page has one of its own.
     """
-    listed = blocks.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("seq", F.col(height).cast("double").alias("h"), (F.col("type") == "page_break").alias("brk")))).alias("b"))
-    zero = F.struct(F.lit(0).alias("page"), F.lit(0.0).alias("used"), F.array().cast("array<struct<seq:int,page:int>>").alias("out"))
-
-    def step(s: Column, x: Column) -> Column:
-        over = (s["used"] > 0) & (s["used"] + x["h"] > page_height)
-        page = F.when(over, s["page"] + 1).otherwise(s["page"])
-        used = F.when(over, x["h"]).otherwise(s["used"] + x["h"])
-        out = F.concat(s["out"], F.array(F.struct(x["seq"].cast("int").alias("seq"), page.alias("page"))))
-        return F.struct(F.when(x["brk"], page + 1).otherwise(page).alias("page"), F.when(x["brk"], F.lit(0.0)).otherwise(used).alias("used"), out.alias("out"))
-
-    placed = listed.select("doc_id", F.explode(F.aggregate("b", zero, step)["out"]).alias("p"))
-    return placed.select("doc_id", F.col("p.seq").alias("seq"), F.col("p.page").alias("page"))
+
+    def fill(pdf):
+        page, used, pages = 0, 0.0, []
+        pdf = pdf.sort_values("seq", kind="stable")
+        for h, ends in zip(pdf["h"], pdf["brk"], strict=True):
+            if used > 0 and used + h > page_height:
+                page, used = page + 1, 0.0
+            used += h
+            pages.append(page)
+            if ends:
+                page, used = page + 1, 0.0
+        return pdf.assign(page=pages)[["doc_id", "seq", "page"]]
+
+    placed = blocks.select("doc_id", F.col("seq").cast("int").alias("seq"), F.coalesce(F.col(height).cast("double"), F.lit(0.0)).alias("h"), F.coalesce(F.col("type") == "page_break", F.lit(False)).alias("brk"))
+    return placed.groupBy("doc_id").applyInPandas(fill, T.StructType([placed.schema["doc_id"], T.StructField("seq", T.IntegerType()), T.StructField("page", T.IntegerType())]))
 
 
 def on_pages(nodes: DataFrame, boundaries: DataFrame) -> DataFrame:

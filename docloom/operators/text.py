@@ -6,6 +6,7 @@ import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..model import INLINE_NAMES
 
@@ -19,19 +20,19 @@ def _replaced(inline: Column, text: Column) -> Column:
     return F.struct(*[(text if n == "text" else inline[n]).alias(n) for n in INLINE_NAMES])
 
 
-def match_offsets(text: Column, pattern: str) -> Column:
-    """Array of (match, start, end) in code points, for patterns that match no empty text."""
+def with_matches(df: DataFrame, key: list[str], text: str, pattern: str) -> DataFrame:
+    """A row for each match of ``pattern`` in ``text``, with match, start and end in code points; ``key`` tells rows apart.
+
+    Offsets are running sums over the gaps and hits of a text. Patterns must not match the empty text.
+    """
     if re.search(pattern, ""):
         raise ValueError("the pattern must not match the empty text")
-    found, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-
-    def step(done: Column, pair: Column) -> Column:
-        start = F.coalesce(F.try_element_at(done, F.lit(-1))["end"], F.lit(0)) + F.length(pair["gap"])
-        return F.concat(done, F.array(F.struct(pair["hit"].alias("match"), start.alias("start"), (start + F.length(pair["hit"])).alias("end"))))
-
-    pairs = F.zip_with(found, F.slice(between, F.lit(1), F.size(found)), lambda h, g: F.struct(h.alias("hit"), g.alias("gap")))
-    empty = F.array().cast("array<struct<match:string,start:int,end:int>>")
-    return F.when(F.size(found) == 0, empty).otherwise(F.aggregate(F.when(F.size(found) == 0, F.array().cast("array<struct<hit:string,gap:string>>")).otherwise(pairs), empty, step))
+    hits = df.where(F.col(text).rlike(pattern)).withColumn("_hits", F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0))).withColumn("_gaps", F.split(F.col(text), pattern, -1))
+    pairs = F.zip_with("_hits", F.slice("_gaps", F.lit(1), F.size("_hits")), lambda h, g: F.struct(h.alias("hit"), F.length(g).cast("long").alias("gap")))
+    each = hits.select(*key, F.posexplode(pairs).alias("_i", "_m"))
+    so_far = Window.partitionBy(*key).orderBy("_i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    end = F.sum(F.col("_m.gap") + F.length("_m.hit")).over(so_far)
+    return each.withColumn("end", end).select(*key, F.col("_m.hit").alias("match"), (F.col("end") - F.length("_m.hit")).alias("start"), "end")
 
 
 def _texts(nodes: DataFrame) -> DataFrame:
@@ -45,8 +46,7 @@ def _texts(nodes: DataFrame) -> DataFrame:
 
 def find_text(nodes: DataFrame, pattern: str) -> DataFrame:
     """One row per match of a regular expression, with offsets in its inline; matches never span inlines."""
-    hits = _texts(nodes).where(F.col("text").rlike(pattern)).select("doc_id", "seq", "node_id", "inline_idx", F.explode(match_offsets(F.col("text"), pattern)).alias("m"))
-    return hits.select("doc_id", "seq", "node_id", "inline_idx", F.col("m.match").alias("match"), F.col("m.start").cast("long").alias("start"), F.col("m.end").cast("long").alias("end"))
+    return with_matches(_texts(nodes), ["doc_id", "seq", "node_id", "inline_idx"], "text", pattern)
 
 
 def occurrences(text: Column, old: str) -> Column:

@@ -75,7 +75,7 @@ def to_markdown(blocks: list[Node], embed_ids: bool = False) -> str:
 def block_md(b: Node, ids: bool = False) -> str | None:
     body = _body_md(b, ids)
     if ids and b.node_id and (body is not None or b.type == "paragraph"):
-        return f"<!-- {b.node_id} -->" + (f"\n{body}" if body else "")
+        return f"<!-- id: {b.node_id} -->" + (f"\n{body}" if body else "")
     return body
 
 
@@ -88,8 +88,11 @@ def _body_md(b: Node, ids: bool) -> str | None:
     if kind == "list":
         lines, number = [], b.start if b.start is not None else 1
         for item in b.children:
+            lines += [f"<!-- item: {item.node_id} -->"] * bool(ids and item.node_id)
             lines.append((f"{number}. " if b.ordered else "- ") + inlines_md(item.inlines))
-            lines += ["  - " + inlines_md(c.inlines) for c in item.children]
+            for child in item.children:
+                lines += [f"  <!-- item: {child.node_id} -->"] * bool(ids and child.node_id)
+                lines.append("  - " + inlines_md(child.inlines))
             number += 1
         return "\n".join(lines)
     if kind == "table":

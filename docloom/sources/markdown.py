@@ -3,7 +3,8 @@
 Blocks are found by the first test that a line passes: id comment, blank line, footnote
 definition, fence, ATX heading, thematic break, HTML table, pipe rows, list items, paragraph. A
 paragraph ends at a blank line, at a line that opens another block, or after a line with two
-trailing spaces. Lists are flat.
+trailing spaces. Lists are flat. ``<!-- id: X -->`` before a block and ``<!-- item: X -->`` before a
+list item name what follows; cells are named by ``data-bid``.
 """
 
 from __future__ import annotations
@@ -13,7 +14,9 @@ from collections.abc import Iterator
 
 from ..model import Ids, Node, inline
 
-_ID = re.compile(r"^\s*<!--\s*(b_\d{4,})\s*-->\s*$")
+# Fixed by Markdown and by the id comments of exported documents.
+_ID = re.compile(r"^\s*<!--\s*(?:id:\s*(?P<named>\S+)|(?P<plain>b_\d{4,}))\s*-->\s*$")
+_ITEM = re.compile(r"^\s*<!--\s*item:\s*(\S+)\s*-->\s*$")
 _FOOTNOTE = re.compile(r"^\[\^([^\]]+)\]:\s*(.*)$")
 _FENCE = re.compile(r"^(`{3,}|~{3,})(.*)$")
 _HEADING = re.compile(r"^(#{1,6})\s+(.*?)\s*$")
@@ -81,7 +84,7 @@ def paragraph(text: str, node_id: str, slot: str = "blocks") -> Node:
 
 def line_kind(line: str) -> str:
     """The block that a line opens outside fences."""
-    for kind, pattern in (("id", _ID), ("footnote", _FOOTNOTE), ("fence", _FENCE), ("heading", _HEADING), ("rule", _RULE)):
+    for kind, pattern in (("id", _ID), ("item", _ITEM), ("footnote", _FOOTNOTE), ("fence", _FENCE), ("heading", _HEADING), ("rule", _RULE)):
         if pattern.match(line):
             return kind
     if not line.strip():
@@ -115,7 +118,8 @@ def parse_markdown(text: str, ids: Ids | None = None) -> list[Node]:
         if kind == "id":
             if pending:
                 blocks.append(Node("paragraph", pending, inlines=[], raw=""))
-            pending = _ID.match(line)[1]
+            found = _ID.match(line)
+            pending = found["named"] or found["plain"]
             i += 1
         elif kind == "blank":
             i += 1
@@ -151,15 +155,23 @@ def parse_markdown(text: str, ids: Ids | None = None) -> list[Node]:
                 end += 1
             blocks.append(_pipe_table(lines[i:end], take_id(), ids))
             i = end
-        elif kind in ("bullet", "number"):
-            end = i
-            while end < len(lines) and kinds[end] == kind:
+        elif kind == "item" and (i + 1 == len(lines) or kinds[i + 1] not in ("bullet", "number")):
+            i += 1  # names nothing
+        elif kind in ("item", "bullet", "number"):
+            first = i + (kind == "item")
+            line, kind, end = lines[first], kinds[first], i
+            while end < len(lines) and (kinds[end] == kind or (kinds[end] == "item" and kinds[end + 1 : end + 2] == [kind])):
                 end += 1
             pattern = _BULLET if kind == "bullet" else _NUMBER
             node = Node("list", take_id(), ordered=kind == "number", start=int(_NUMBER.match(line)[1]) if kind == "number" else None)
-            for item in lines[i:end]:
+            named = None
+            for item, item_kind in zip(lines[i:end], kinds[i:end], strict=True):
+                if item_kind == "item":
+                    named = _ITEM.match(item)[1]
+                    continue
                 text_of = pattern.match(item).groups()[-1]
-                node.add(Node("list_item", ids(), kind="list_item", inlines=parse_inlines(text_of), raw=text_of), "items")
+                node.add(Node("list_item", named or ids(), kind="list_item", inlines=parse_inlines(text_of), raw=text_of), "items")
+                named = None
             blocks.append(node)
             i = end
         else:
@@ -205,7 +217,8 @@ _ATTR = re.compile(r"([\w-]+)\s*=\s*\"([^\"]*)\"")
 
 
 def _html_table(html: str, node_id: str, ids: Ids) -> Node:
-    table = Node("table", node_id)
+    opening = dict(_ATTR.findall(html[: html.find(">")]))
+    table = Node("table", opening.get("data-bid") or node_id)
     for body in _TR.findall(html):
         made = []
         for tag, attrs, content in _TD.findall(body):
@@ -215,7 +228,7 @@ def _html_table(html: str, node_id: str, ids: Ids) -> Node:
             made.append(
                 (
                     [Node("paragraph", ids(), inlines=html_inlines(p.strip()), raw=p.strip()) for p in parts],
-                    {"node_id": cell_id, "row_span": int(known.get("rowspan", 1)), "col_span": int(known.get("colspan", 1)), "is_header": tag.lower() == "th"},
+                    {"node_id": cell_id, "row_span": int(known.get("rowspan", 1)), "col_span": int(known.get("colspan", 1)), "is_header": tag.lower() == "th", "attrs": {"width": known["width"]} if known.get("width") else {}},
                 )
             )
         table.add(_row(made, ids, bool(made) and all(c[1].get("is_header") for c in made)), "rows")
