@@ -93,6 +93,14 @@ class Node:
     attrs: dict[str, str] = field(default_factory=dict)
     children: list[Node] = field(default_factory=list)
 
+    def walk(self):
+        """The node and all below it, in pre-order."""
+        todo = [self]
+        while todo:
+            node = todo.pop()
+            yield node
+            todo += reversed(node.children)
+
     def add(self, child: Node, slot: str) -> Node:
         child.slot = slot
         self.children.append(child)

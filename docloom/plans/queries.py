@@ -169,15 +169,8 @@ def _template(spark, sf_dir, words: Column | str = "text") -> DataFrame:
 _VALUES = {"role": "speaker {{lang}}", "lang": "fr"}
 
 
-@register("SELECT conv_id AS doc_id, turn::INTEGER AS seq, 'speaker fr: ' || substr(text, 1, 40) || ' fr {{missing}}' AS text FROM conversations WHERE text IS NOT NULL")
-def fill_template(spark, sf_dir):
-    """Of each turn only what its SQL compares; fill_template_whole fills whole turns."""
-    done = text.fill_template(_template(spark, sf_dir, F.substring("text", 1, 40)), _VALUES)
-    return done.select("doc_id", "seq", query.own_text().alias("text"))
-
-
 @register("SELECT conv_id AS doc_id, turn::INTEGER AS seq, replace(replace('{{role}}: ' || text || ' {{lang}} {{missing}}', '{{role}}', 'speaker {{lang}}'), '{{lang}}', 'fr') AS text FROM conversations WHERE text IS NOT NULL")
-def fill_template_whole(spark, sf_dir):
+def fill_template(spark, sf_dir):
     done = text.fill_template(_template(spark, sf_dir), _VALUES)
     return done.select("doc_id", "seq", query.own_text().alias("text"))
 
@@ -211,14 +204,8 @@ def _escaped(spark, sf_dir, words: Column | str = "text") -> DataFrame:
     return _read(spark, sf_dir, "conversations").select("conv_id", "turn", scalars.escape_line_start(F.concat(mark, words)).alias("escaped"))
 
 
-@register(r"SELECT conv_id, turn, regexp_replace(regexp_replace(regexp_replace(regexp_replace(m || substr(text, 1, 30), '^(\d+)([.)])(\s)', '\1\\\2\3'), '^(#{1,6})(\s|$)', '\\\1\2'), '^([-+])(\s)', '\\\1\2'), '^(>|!\[)', '\\\1') AS escaped FROM (SELECT *, CASE turn % 5 WHEN 0 THEN '1. ' WHEN 1 THEN '## ' WHEN 2 THEN '- ' WHEN 3 THEN '> ' ELSE '' END AS m FROM conversations)")
-def escape_line_starts(spark, sf_dir):
-    """Of each turn only what its SQL compares; escape_line_starts_whole escapes whole turns."""
-    return _escaped(spark, sf_dir, F.substring("text", 1, 30))
-
-
 @register(r"SELECT conv_id, turn, regexp_replace(regexp_replace(regexp_replace(regexp_replace(m || text, '^(\d+)([.)])(\s)', '\1\\\2\3'), '^(#{1,6})(\s|$)', '\\\1\2'), '^([-+])(\s)', '\\\1\2'), '^(>|!\[)', '\\\1') AS escaped FROM (SELECT *, CASE turn % 5 WHEN 0 THEN '1. ' WHEN 1 THEN '## ' WHEN 2 THEN '- ' WHEN 3 THEN '> ' ELSE '' END AS m FROM conversations)")
-def escape_line_starts_whole(spark, sf_dir):
+def escape_line_starts(spark, sf_dir):
     return _escaped(spark, sf_dir)
 
 
@@ -296,11 +283,16 @@ def render_losses(spark, sf_dir):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-@register("""WITH v AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '#' || source WHEN 1 THEN ' ' ELSE '<div>' || chr(10) || lang END AS md FROM documents)
-    SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'M3' WHEN 1 THEN 'M2' ELSE 'M1' END AS rule_id, CASE doc_id % 3 WHEN 1 THEN 'error' ELSE 'warning' END AS severity FROM v""")
+_RAW = r"(?mi)^ {0,3}<(script|pre|style|textarea|!--|\?|![a-z]|/?(address|article|aside|blockquote|body|center|details|dialog|div|dl|fieldset|figure|footer|form|frame|h[1-6]|head|header|hr|html|iframe|li|link|main|menu|nav|ol|p|section|summary|table|tbody|td|tfoot|th|thead|title|tr|ul)(\s|/?>|$))"
+
+
+@register(rf"""WITH v AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '#Title' || chr(10) || coalesce(text, '') WHEN 1 THEN ' ' ELSE coalesce(text, '') || chr(10) || '<div>' || chr(10) || lang END AS md FROM documents)
+    SELECT doc_id, 'M1' AS rule_id, 'warning' AS severity FROM v WHERE regexp_matches(md, '{_RAW}')
+    UNION ALL SELECT doc_id, 'M2', 'error' FROM v WHERE NOT regexp_matches(md, '\S') UNION ALL SELECT doc_id, 'M3', 'warning' FROM v WHERE regexp_matches(md, '(?m)^#{{1,6}}[A-Z가-힣ㄱ-ㆎ]')""")
 def validate_markdown(spark, sf_dir):
-    k = F.col("doc_id") % 3
-    md = F.when(k == 0, F.concat(F.lit("#"), "source")).when(k == 1, " ").otherwise(F.concat(F.lit("<div>\n"), "lang"))
+    """Whole texts with a fault each: a title without a space, nothing, or raw HTML at the end."""
+    k, said = F.col("doc_id") % 3, F.coalesce("text", F.lit(""))
+    md = F.when(k == 0, F.concat(F.lit("#Title\n"), said)).when(k == 1, " ").otherwise(F.concat(said, F.lit("\n<div>\n"), "lang"))
     return rules.validate_markdown(_read(spark, sf_dir, "documents").select("doc_id", md.alias("md"))).select("doc_id", "rule_id", "severity")
 
 
@@ -318,7 +310,7 @@ _BALANCE = " || ".join(f"CASE WHEN len(regexp_extract_all(html, '(?i)<{n}(\\s[^>
 
 @register(f"SELECT page_id AS doc_id, 'unbalanced: ' || substr(o, 2) AS message FROM (SELECT page_id, {_BALANCE} AS o FROM pages) WHERE o <> ''")
 def validate_html_balance(spark, sf_dir):
-    return rules.check_h1(_read(spark, sf_dir, "pages").withColumnRenamed("page_id", "doc_id")).select("doc_id", "message")
+    return rules.tag_balance(_read(spark, sf_dir, "pages").withColumnRenamed("page_id", "doc_id")).select("doc_id", "message")
 
 
 @register("SELECT page_id AS doc_id, lower(t) AS tag, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, '<([a-zA-Z][a-zA-Z0-9]*)', 1)) AS t FROM pages) GROUP BY ALL")
@@ -586,10 +578,10 @@ def apply_edits(spark, sf_dir):
     return edit.apply_edits(nodes, edits).select("doc_id", "seq", F.md5(query.own_text()).alias("digest"), F.col("inlines")[0]["bold"].alias("bold"))
 
 
-@register(f"WITH {_PLAIN} SELECT doc_id, seq::INTEGER AS seq, CASE WHEN length(line) > 5 THEN 2 ELSE 1 END AS n_inlines, substr(line, 1, 5) AS head FROM plain")
+@register(f"WITH {_PLAIN} SELECT doc_id, seq::INTEGER AS seq, CASE WHEN length(line) > 5 THEN 2 ELSE 1 END AS n_inlines, substr(line, 1, 5) AS head, CASE WHEN length(line) > 5 THEN md5(substr(line, 6)) END AS rest FROM plain")
 def split_inlines(spark, sf_dir):
     cut = edit.split_inline(F.col("inlines"), 0, 5)
-    return _plain(spark, sf_dir).select("doc_id", "seq", F.size(cut).alias("n_inlines"), F.substring(cut[0]["text"], 1, 5).alias("head"))
+    return _plain(spark, sf_dir).select("doc_id", "seq", F.size(cut).alias("n_inlines"), F.substring(cut[0]["text"], 1, 5).alias("head"), F.md5(F.get(cut, F.lit(1))["text"]).alias("rest"))
 
 
 @register(f"WITH {_PLAIN} SELECT doc_id, seq::INTEGER AS seq, 1 AS n_inlines, md5(line) AS digest FROM plain")
@@ -709,3 +701,133 @@ def hwp_records(spark, sf_dir):
 
     streams = _read(spark, sf_dir, "documents").select("doc_id", stream("doc_id").alias("stream"))
     return hwp.validate_records(hwp.records_of(streams))
+
+
+def _lines_back(back: DataFrame) -> DataFrame:
+    lines = F.array_sort(F.collect_list(F.struct("seq", query.own_text().alias("t"))))
+    return back.where("type = 'paragraph'").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_blocks"), F.md5(F.array_join(F.transform(lines, lambda x: x["t"]), "\n")).alias("digest"))
+
+
+@register(f"WITH {_PLAIN} SELECT doc_id, count(*) AS n_blocks, md5(string_agg(replace(line, chr(9), ' '), chr(10) ORDER BY seq)) AS digest FROM plain GROUP BY doc_id")
+def hwp_round_trip(spark, sf_dir):
+    """Whole texts written as HWP 5 files and parsed again; a tab becomes a blank."""
+    return _lines_back(parse_documents(render_documents(_plain(spark, sf_dir), "hwp"), "hwp", "content"))
+
+
+@register("SELECT doc_id, type, n FROM (SELECT doc_id, unnest([2, 2 + len(list_filter(string_split(text, chr(10)), x -> trim(x, ' ' || chr(9) || chr(13)) <> '')) + 6, 1]) AS n, unnest(['heading', 'paragraph', 'table']) AS type FROM documents WHERE text IS NOT NULL)".replace("x -> trim", "lambda x: trim"))
+def hwp_blocks(spark, sf_dir):
+    """Blocks of HWP 5 files made of Markdown: headings by style, a paragraph for each line, list item, code line and cell, a table."""
+    docs = _read(spark, sf_dir, "documents").where("text is not null")
+    lines = F.filter(F.split("text", "\n"), lambda x: F.trim(x, F.lit(" \t\r")) != "")
+    head = F.concat(F.lit("# "), "source", F.lit("\n\n## "), "lang", F.lit("\n\n"))
+    tail = F.concat(F.lit("\n\n- "), "lang", F.lit("\n- "), "source", F.lit("\n\n| a | b |\n| --- | --- |\n| "), "lang", F.lit(" | "), "source", F.lit(" |\n\n```\n1\n2\n```\n"))
+    said = F.array_join(F.transform(lines, lambda x: F.concat(F.lit("x "), F.regexp_replace(F.trim(x, F.lit(" \t\r")), r"[|`#<>$*_~\[\]\\-]", ""))), "\n\n")
+    nodes = parse_documents(docs.select("doc_id", F.concat(head, said, tail).alias("md")), "md", "md")
+    back = parse_documents(render_documents(nodes, "hwp"), "hwp", "content")
+    return back.where("type in ('heading', 'paragraph', 'table')").groupBy("doc_id", "type").agg(F.count(F.lit(1)).cast("int").alias("n")).select("doc_id", "type", "n")
+
+
+@register("SELECT doc_id, unnest(CASE doc_id % 4 WHEN 0 THEN ['R1'] WHEN 1 THEN ['R2', 'R3'] WHEN 2 THEN ['I6'] ELSE ['R5'] END) AS rule_id FROM documents WHERE text IS NOT NULL")
+def validate_hwp(spark, sf_dir):
+    """Files of whole texts, each with a fault, and the rules that they break."""
+    from ..validation.hwp import validate_hwp_files
+
+    def spoil(batches):
+        import struct
+
+        import pandas as pd
+
+        from ..sinks.hwp import deflated
+        from ..sources import hwp
+        from ..sources.ole import CompoundFile, write_compound
+
+        def spoiled(i: int, content: bytes) -> bytes:
+            file = CompoundFile(content)
+            streams = {n: file.read(n) for n in file.streams}
+            top = hwp.record_trees(hwp.inflated(streams["BodyText/Section0"], True))
+            para = top[-1 if i % 4 < 2 else 0]
+            if i % 4 == 0:
+                para.payload = struct.pack("<I", 9_999_999) + para.payload[4:]
+            elif i % 4 == 1:
+                para.children = [c for c in para.children if c.tag != hwp.PARA_LINE_SEG]
+            elif i % 4 == 2:
+                para.payload = para.payload[:4] + bytes(4) + para.payload[8:]
+            else:
+                streams["FileHeader"] = b"other" + streams["FileHeader"][5:]
+            return write_compound(streams | {"BodyText/Section0": deflated(b"".join(r.to_bytes() for r in top))})
+
+        for pdf in batches:
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "content": [spoiled(i, bytes(c)) for i, c in zip(pdf["doc_id"], pdf["content"], strict=True)]})
+
+    files = render_documents(_plain(spark, sf_dir), "hwp").mapInPandas(spoil, "doc_id long, content binary")
+    return validate_hwp_files(files).select("doc_id", "rule_id")
+
+
+@register(f"WITH {_PLAIN} SELECT doc_id, 'n-' || seq AS node_id, md5(replace(line, '$', '')) AS digest FROM plain UNION ALL SELECT DISTINCT doc_id, unnest(['it-a', 'it-b', 'cell-1']), unnest([md5('a'), md5('b'), md5('')]) FROM plain")
+def md_ids(spark, sf_dir):
+    """Markdown with ids of blocks, list items and cells, written and parsed again; dollar signs, which open formulas, are left out."""
+    plain = _plain(spark, sf_dir).select("doc_id", "seq", F.concat(F.lit("<!-- id: n-"), F.col("seq").cast("string"), F.lit(" -->\n"), scalars.escape_line_start(scalars.escape_markdown(F.replace(query.own_text(), F.lit("$"), F.lit(""))))).alias("t"))
+    parts = F.array_sort(F.collect_list(F.struct("seq", "t")))
+    tail = "\n\n<!-- item: it-a -->\n- a\n<!-- item: it-b -->\n- b\n\n<table>\n<tr><td data-bid=\"cell-1\">c</td></tr>\n</table>\n"
+    docs = plain.groupBy("doc_id").agg(F.concat(F.array_join(F.transform(parts, lambda x: x["t"]), "\n\n"), F.lit(tail)).alias("md"))
+    again = parse_documents(render_documents(parse_documents(docs, "md", "md"), "md", embed_ids=True), "md", "content")
+    return again.where("node_id like 'n-%' or node_id like 'it-%' or node_id like 'cell-%'").select("doc_id", "node_id", F.md5(query.own_text()).alias("digest"))
+
+
+def _form(docs: DataFrame, cell: Column, item: Column) -> DataFrame:
+    head, middle, end = '<table>\n<tr><td data-bid="c1">', '</td><td data-bid="c2">same</td></tr>\n</table>\n\n<!-- item: i1 -->\n- ', "\n<!-- item: i2 -->\n- same\n"
+    md = F.concat(F.lit(head), cell, F.lit(middle), item, F.lit(end))
+    return parse_documents(docs.select("doc_id", md.alias("md")), "md", "md")
+
+
+@register("SELECT doc_id, unnest(['c1', 'i1']) AS node_id, unnest(['new ' || lang, 'item ' || doc_id]) AS text FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, unnest(['c1', 'i1']), unnest([lang, source]) FROM documents WHERE doc_id % 2 = 1 UNION ALL SELECT doc_id, unnest(['c2', 'i2']), 'same' FROM documents")
+def merge_cells_and_items(spark, sf_dir):
+    """Forms whose even copies have another cell and another item, merged."""
+    docs = _read(spark, sf_dir, "documents")
+    even = F.col("doc_id") % 2 == 0
+    edited = _form(docs, F.when(even, F.concat(F.lit("new "), "lang")).otherwise(F.col("lang")), F.when(even, F.concat(F.lit("item "), F.col("doc_id").cast("string"))).otherwise(F.col("source")))
+    done = compare.merge_documents(_form(docs, F.col("lang"), F.col("source")), edited)
+    held = done.where("kind in ('table_cell', 'list_item')").select("doc_id", "seq", "node_id", "kind", "inlines")
+    inner = done.where("slot = 'content'").select("doc_id", F.col("parent_seq").alias("seq"), F.col("inlines").alias("_in"))
+    both = held.join(inner, ["doc_id", "seq"], "left")
+    return both.select("doc_id", "node_id", query.inline_text(F.when(F.col("kind") == "list_item", F.col("inlines")).otherwise(F.col("_in"))).alias("text"))
+
+
+def _small_table(spark, sf_dir) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return parse_documents(docs.select("doc_id", F.concat(F.lit("<!-- id: t1 -->\n| "), "lang", F.lit(" | b |\n| --- | --- |\n| c | "), "source", F.lit(" |\n\nafter\n")).alias("md")), "md", "md")
+
+
+@register("SELECT doc_id, unnest([0, 0, 0, 1, 1, 1, 2, 2, 2]) AS row_idx, unnest([0, 1, 2, 0, 1, 2, 0, 1, 2]) AS cell_idx, unnest([lang, '', 'b', '', '', '', 'c', '', source]) AS text FROM documents")
+def add_rows_and_columns(spark, sf_dir):
+    """A row put between two and a column between two."""
+    grown = tables.add_column(tables.add_row(_small_table(spark, sf_dir), "t1", at=1), "t1", at=1)
+    return tables.cell_texts(grown).select("doc_id", "row_idx", "cell_idx", "text")
+
+
+@register("SELECT doc_id, unnest(['alignment', 'indent']) AS name, unnest(['center', lang]) AS value FROM documents")
+def block_formats(spark, sf_dir):
+    nodes = _small_table(spark, sf_dir)
+    changes = _read(spark, sf_dir, "documents").select("doc_id", F.lit("t1").alias("node_id"), F.create_map(F.lit("alignment"), F.lit("center"), F.lit("indent"), F.col("lang")).alias("fmt"))
+    return edit.get_block_format(edit.set_block_format(nodes, changes), "t1")
+
+
+@register("SELECT doc_id, unnest([0, 1]) AS row_idx, 0 AS cell_idx, true AS width, true AS height FROM documents")
+def freeze_labels(spark, sf_dir):
+    nodes = tables.freeze(_small_table(spark, sf_dir), "t1", columns=[0])
+    fixed = nodes.where("kind = 'table_cell' and map_contains_key(attrs, 'fixed_width')").select("doc_id", "seq", (F.col("attrs")["fixed_width"] == "true").alias("width"), (F.col("attrs")["fixed_height"] == "true").alias("height"))
+    return tables.cells(nodes).join(fixed, ["doc_id", "seq"]).select("doc_id", "row_idx", "cell_idx", "width", "height")
+
+
+@register("SELECT doc_id, unnest([true, false, false]) AS merged, unnest([2, 1, 1]) AS col_span, unnest([lang, '', 'c']) AS text FROM documents UNION ALL SELECT doc_id, false, 1, source FROM documents")
+def merge_table_cells(spark, sf_dir):
+    """The cells of the first row merged: the first spreads, the second is empty."""
+    nodes = tables.merge_cells(_small_table(spark, sf_dir), "t1", 0, 0, 0, 1)
+    spans = tables.cells(nodes).select("doc_id", "row_idx", "cell_idx", "col_span")
+    return tables.cell_texts(nodes).join(spans, ["doc_id", "row_idx", "cell_idx"]).select("doc_id", (F.col("col_span") > 1).alias("merged"), "col_span", "text")
+
+
+@register("SELECT doc_id, 0 AS row_idx, 0 AS cell_idx, 'b' AS text FROM documents")
+def remove_rows_and_columns(spark, sf_dir):
+    left = tables.remove_column(tables.remove_rows(_small_table(spark, sf_dir), "t1", 1), "t1", 0)
+    return tables.cell_texts(left).select("doc_id", "row_idx", "cell_idx", "text")

@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..model import NODES, tree_of
+from .hwp import to_hwp
 from .hwpx import to_hwpx
 from .writers import to_docx, to_html, to_json, to_markdown
 
-WRITERS = {"md": to_markdown, "html": to_html, "json": to_json, "docx": to_docx, "hwpx": to_hwpx}
-BINARY = ("docx", "hwpx")
+WRITERS = {"md": to_markdown, "html": to_html, "json": to_json, "docx": to_docx, "hwpx": to_hwpx, "hwp": to_hwp}
+BINARY = ("docx", "hwpx", "hwp")
 
 
 def render_documents(nodes: DataFrame, fmt: str, **options) -> DataFrame:

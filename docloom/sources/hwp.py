@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import io
 import struct
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,22 +19,57 @@ LONG_CONTROLS = frozenset([*range(1, 9), 11, 12, *range(14, 24)])
 RECORDS = "doc_id long, seq int, tag int, level int, size long, payload binary"
 
 
+@dataclass
+class Record:
+    """A record and the deeper ones that follow it."""
+
+    tag: int
+    payload: bytes
+    level: int = 0
+    children: list[Record] = field(default_factory=list)
+
+    def first(self, tag: int) -> bytes | None:
+        """The payload of the first child of that tag."""
+        return next((c.payload for c in self.children if c.tag == tag), None)
+
+    def walk(self) -> Iterator[Record]:
+        todo = [self]
+        while todo:
+            record = todo.pop()
+            yield record
+            todo += reversed(record.children)
+
+    def to_bytes(self) -> bytes:
+        return b"".join(make_record(r.tag, r.level, r.payload) for r in self.walk())
+
+
+#: A record's head: 10 bits of tag, 10 of level, 12 of size; a size of all ones stands in a word of its own.
+_SIZE_FOLLOWS = (1 << 12) - 1
+
+
 def iter_records(stream: bytes) -> Iterator[tuple[int, int, bytes]]:
-    """(tag, level, payload) of a stream; stops where a record is cut off."""
-    at = 0
-    while at + 4 <= len(stream):
-        (head,) = struct.unpack_from("<I", stream, at)
-        at += 4
-        size = head >> 20
-        if size == 0xFFF:
-            if at + 4 > len(stream):
-                return
-            (size,) = struct.unpack_from("<I", stream, at)
-            at += 4
-        if at + size > len(stream):
-            return
-        yield head & 0x3FF, head >> 10 & 0x3FF, stream[at : at + size]
-        at += size
+    """(tag, level, payload) of each whole record of a stream; a record that is cut off ends it."""
+    file = io.BytesIO(stream)
+    while len(head := file.read(4)) == 4:
+        word = int.from_bytes(head, "little")
+        tag, level, size = word & 1023, (word >> 10) & 1023, word >> 20
+        if size == _SIZE_FOLLOWS:
+            size = int.from_bytes(file.read(4), "little")
+        payload = file.read(size)
+        if len(payload) == size and file.tell() <= len(stream):
+            yield tag, level, payload
+
+
+def record_trees(stream: bytes) -> list[Record]:
+    """The records of a stream as trees, by level."""
+    top, open_ = [], []
+    for tag, level, payload in iter_records(stream):
+        record = Record(tag, payload, level)
+        while open_ and open_[-1].level >= level:
+            open_.pop()
+        (open_[-1].children if open_ else top).append(record)
+        open_.append(record)
+    return top
 
 
 def make_record(tag: int, level: int, payload: bytes) -> bytes:
@@ -182,7 +219,10 @@ def _runs(text: bytes, shapes: bytes, info: DocInfo) -> list[dict]:
 
 
 def _blocks(records: list[tuple[int, int, bytes]], start: int, end: int, info: DocInfo, ids) -> list:
-    """Blocks of the paragraphs among ``records[start:end]``; deeper records belong to the paragraph before them."""
+    """Blocks of the paragraphs among ``records[start:end]``; deeper records belong to the paragraph before them.
+
+    A paragraph or heading notes the place of its record in ``attrs`` (record), for patches.
+    """
     from ..model import Node
 
     out, i = [], start
@@ -204,9 +244,9 @@ def _blocks(records: list[tuple[int, int, bytes]], start: int, end: int, info: D
                         last += 1
                     extra += _control(records, k, last, info, ids)
             if heading and inlines:
-                out.append(Node("heading", ids(), level=heading, text="".join(x["text"] for x in inlines), inlines=inlines))
-            elif inlines or not extra:
-                out.append(Node("paragraph", ids(), inlines=inlines))
+                out.append(Node("heading", ids(), level=heading, text="".join(x["text"] for x in inlines), inlines=inlines, attrs={"record": str(i)}))
+            elif inlines or not (extra or any(t == CTRL_HEADER and control_id(p) == "secd" for t, _, p in records[i + 1 : stop])):
+                out.append(Node("paragraph", ids(), inlines=inlines, attrs={"record": str(i)}))
             out += extra
         i = stop
     return out
@@ -267,7 +307,11 @@ def parse_hwp(content: bytes, ids=None) -> list:
     out = []
     for name in names:
         records = list(iter_records(inflated(file.read(name), bool(flags & 1))))
-        out += _blocks(records, 0, len(records), info, ids)
+        made = _blocks(records, 0, len(records), info, ids)
+        for node in (n for block in made for n in block.walk()):
+            if "record" in node.attrs:
+                node.attrs["record"] = f"{name}:{node.attrs['record']}"
+        out += made
     return out
 
 

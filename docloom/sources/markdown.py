@@ -30,24 +30,31 @@ _SPECIAL = re.compile(r"(?P<code>`+)(?P<body>.+?)(?P=code)|\$(?P<math>[^$\n]+)\$
 _MARKS = (("***", ("bold", "italic")), ("**", ("bold",)), ("*", ("italic",)), ("~~", ("strike",)), ("<u>", ("underline",)))
 
 
+#: Escaped signs stand in this plane of private characters while inlines are told apart.
+_HELD = 0x10F000
+_SIGNS_HELD = {_HELD + ord(c): c for c in "\\`*_{}[]()#+-.!|~<>"}
+_ESCAPES_HELD = {k: "\\" + c for k, c in _SIGNS_HELD.items()}
+
+
 def unescape(text: str) -> str:
-    return _ESCAPED.sub(r"\1", text)
+    return _ESCAPED.sub(r"\1", text).translate(_SIGNS_HELD)
 
 
 def parse_inlines(text: str) -> list[dict]:
-    """Code spans, formulas, note references and links first, then emphasis in what is left."""
+    """Code spans, formulas, note references and links first, then emphasis in what is left; escaped signs mark nothing."""
     out: list[dict] = []
     at = 0
+    text = _ESCAPED.sub(lambda m: chr(_HELD + ord(m[1])), text)
     for match in _SPECIAL.finditer(text):
         _emphasis(text[at : match.start()], {}, out)
         if match["code"]:
-            out.append(inline(text=match["body"], font="Courier New"))
+            out.append(inline(text=match["body"].translate(_ESCAPES_HELD), font="Courier New"))
         elif match["math"] is not None:
-            out.append(inline("equation", latex=match["math"]))
+            out.append(inline("equation", latex=match["math"].translate(_ESCAPES_HELD)))
         elif match["note"] is not None:
-            out.append(inline("footnote_ref", ref=match["note"]))
+            out.append(inline("footnote_ref", ref=match["note"].translate(_SIGNS_HELD)))
         else:
-            out.append(inline("link", unescape(match["label"]), url=match["url"]))
+            out.append(inline("link", unescape(match["label"]), url=match["url"].translate(_SIGNS_HELD)))
         at = match.end()
     _emphasis(text[at:], {}, out)
     return out

@@ -30,7 +30,7 @@ FORMATS = {
         FormatSpec("xml", (".xml", ".dbk"), "application/xml", True, False),
         FormatSpec("docx", (".docx",), "application/vnd.openxmlformats-officedocument.wordprocessingml.document", True, True, True),
         FormatSpec("hwpx", (".hwpx",), "application/hwp+zip", True, True, True),
-        FormatSpec("hwp", (".hwp",), "application/x-hwp", True, False, True),
+        FormatSpec("hwp", (".hwp",), "application/x-hwp", True, True, True),
         FormatSpec("pdf", (".pdf",), "application/pdf", True, False, True),
     )
 }

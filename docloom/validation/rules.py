@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from html.parser import HTMLParser
+
 import io
 import posixpath
 import re
@@ -39,8 +41,8 @@ def check_m2(docs: DataFrame, md: str = "md") -> DataFrame:
 
 
 def check_m3(docs: DataFrame, md: str = "md") -> DataFrame:
-    """Hash marks that no space parts from a title."""
-    count = F.regexp_count(without_fences(F.col(md)), F.lit(r"(?m)^#{1,6}[A-Za-z가-힣]"))
+    """Hash marks that no space parts from a title: a capital letter, a Hangul syllable or a letter of Hangul."""
+    count = F.regexp_count(without_fences(F.col(md)), F.lit(r"(?m)^#{1,6}[A-Z가-힣ㄱ-ㆎ]"))
     return _violations(docs, "M3", count > 0, F.concat(count.cast("string"), F.lit(" headings without a space")))
 
 
@@ -48,8 +50,65 @@ def validate_markdown(docs: DataFrame, md: str = "md") -> DataFrame:
     return check_m1(docs, md).unionByName(check_m2(docs, md)).unionByName(check_m3(docs, md))
 
 
+# Elements that HTML closes by itself.
+_CLOSED_BY_ITSELF = frozenset("p li dt dd tr td th thead tbody tfoot option optgroup colgroup caption html body head rb rt rp".split())
+
+
+class _Faults(HTMLParser):
+    """Parse errors as they are met: stray and missing end tags, ends out of order, attributes given twice."""
+
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.open: list[str] = []
+        self.found: list[str] = []
+
+    def handle_starttag(self, tag, attrs):
+        names = [n for n, _ in attrs]
+        self.found += [f"attribute {n} twice in {tag}" for n in sorted({n for n in names if names.count(n) > 1})]
+        if tag not in VOID:
+            self.open.append(tag)
+
+    def handle_startendtag(self, tag, attrs):
+        self.handle_starttag(tag, attrs)
+        if tag not in VOID:
+            self.found.append(f"{tag} cannot close itself")
+
+    def handle_endtag(self, tag):
+        if tag in VOID:
+            return  # rule H4
+        if tag not in self.open:
+            self.found.append(f"end of {tag} without its start")
+            return
+        while (last := self.open.pop()) != tag:
+            if last not in _CLOSED_BY_ITSELF:
+                self.found.append(f"{tag} ends before {last}")
+
+    def finish(self) -> list[str]:
+        self.close()
+        return self.found + [f"{t} never ends" for t in self.open if t not in _CLOSED_BY_ITSELF]
+
+
+def html_faults(html: str | None) -> list[str]:
+    parser = _Faults()
+    parser.feed(html or "")
+    return parser.finish()
+
+
 def check_h1(docs: DataFrame, html: str = "html") -> DataFrame:
-    """An approximation of parse errors: block and inline elements opened and closed a different number of times."""
+    """Parse errors, one row each, found by going through the tags of each document."""
+
+    def run(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            rows = [(d, "H1", fault, "warning") for d, text in zip(pdf["doc_id"], pdf["html"], strict=True) for fault in html_faults(text)]
+            yield pd.DataFrame(rows, columns=["doc_id", "rule_id", "message", "severity"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(html).alias("html")).mapInPandas(run, "doc_id long, rule_id string, message string, severity string")
+
+
+def tag_balance(docs: DataFrame, html: str = "html") -> DataFrame:
+    """Block and inline elements opened and closed a different number of times: an H1 without Python."""
     names = ("b", "i", "em", "strong", "div", "section", "article", "table", "ul", "ol", "a", "span")
     opened = [F.regexp_count(F.col(html), F.lit(rf"(?i)<{n}(\s[^>]*)?>")) for n in names]
     closed = [F.regexp_count(F.col(html), F.lit(rf"(?i)</{n}\s*>")) for n in names]

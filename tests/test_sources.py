@@ -255,3 +255,89 @@ def test_pdf(spark):
     rows = layout.blocks(spans, 792.0).orderBy("page", "line").collect()
     assert [r["type"] for r in rows] == ["heading", "paragraph", "paragraph", "heading", "list", "list"] * 2
     assert rows[2]["text"] == "sec ond" and rows[4]["text"] == "item"
+
+
+def test_hwp_writer():
+    import os
+
+    from docloom.sinks.hwp import patch_hwp_blocks, section_records, to_hwp
+    from docloom.sources.hwp import PARA_HEADER, parse_hwp
+    from docloom.sources.ole import CompoundFile, write_compound
+    from docloom.validation.hwp import file_rules
+
+    md = "# Title\n\npara **bold** and *it* é😀\n\n- a\n- b\n\n3. one\n\n| a | b |\n|---|---|\n| c | d |\n\n```py\nx=1\n```\n\ntext[^1]\n\n[^1]: note text\n"
+    blocks = [*parse_markdown(md), *parse_html("<table><tr><td rowspan=2>a</td><td>b</td></tr><tr><td>c</td></tr></table>")]
+    content = to_hwp(blocks)
+    back = parse_hwp(content)
+    assert [b.type for b in back] == ["heading", "paragraph", "paragraph", "paragraph", "paragraph", "table", "paragraph", "paragraph", "footnote", "table"]
+    assert [(i["text"], i["bold"], i["italic"]) for i in back[1].inlines] == [("para ", None, None), ("bold", True, None), (" and ", None, None), ("it", None, True), (" é😀", None, None)]
+    assert [n.row_span for n in back[-1].walk() if n.type == "table_cell"] == [2, 1, 1]
+    assert list(file_rules(content)) == [] == list(file_rules(to_hwp([])))
+    assert sum(t == PARA_HEADER for t, _, _ in section_records(content)) == 19
+    back[1].inlines = [back[1].inlines[0] | {"text": "changed"}]
+    patched = patch_hwp_blocks(content, [back[1]])
+    again = parse_hwp(patched)
+    assert [i["text"] for i in again[1].inlines] == ["changed"] and again[0].text == "Title" and len(again) == len(back) and list(file_rules(patched)) == []
+    streams = {"A": b"x", "B/C": os.urandom(5000), "B/D": b"", "B/E/F": os.urandom(9 << 20)}
+    file = CompoundFile(write_compound(streams))
+    assert {n: file.read(n) for n in file.streams} == streams
+
+
+def test_hwp_repairs():
+    import struct
+
+    from docloom.sinks.hwp import deflated, to_hwp
+    from docloom.sources import hwp
+    from docloom.sources.ole import CompoundFile, write_compound
+    from docloom.validation.hwp import file_rules, validate_and_fix
+
+    file = CompoundFile(to_hwp(parse_markdown("one\n\ntwo\n\n| a |\n|---|\n| b |\n")))
+    streams = {n: file.read(n) for n in file.streams}
+    trees = hwp.record_trees(hwp.inflated(streams["BodyText/Section0"], True))
+    trees[0].payload = trees[0].payload[:4] + bytes(4) + trees[0].payload[8:]
+    trees[1].payload = struct.pack("<I", 77) + trees[1].payload[4:]
+    for c in trees[1].children:
+        if c.tag == hwp.PARA_CHAR_SHAPE:
+            c.payload += struct.pack("<II", 500, 0)
+    trees[2].children = [c for c in trees[2].children if c.tag != hwp.PARA_LINE_SEG]
+    broken = write_compound(streams | {"BodyText/Section0": deflated(b"".join(t.to_bytes() for t in trees))})
+    assert {r for r, _, _ in file_rules(broken)} == {"R1", "R2", "R3", "R4", "I6"}
+    fixed, left = validate_and_fix(broken)
+    assert left == [] and [b.type for b in hwp.parse_hwp(fixed)] == ["paragraph", "paragraph", "table"]
+    assert {r for r, _, _ in file_rules(b"junk")} == {"R5"}
+    assert {r for r, _, _ in file_rules(write_compound({"FileHeader": streams["FileHeader"]}))} == {"R6"}
+    info = hwp.inflated(streams["DocInfo"], True)
+    damaged = {"DocInfo": deflated(info + hwp.make_record(0x12, 0, b"\x02\x00") + hwp.make_record(hwp.CHAR_SHAPE, 0, b"\x63\x00" * 37))}
+    assert {r for r, _, _ in file_rules(write_compound(streams | damaged))} == {"I1", "I2", "I10"}
+    two = write_compound(streams | {"BodyText/Section1": streams["BodyText/Section0"]})
+    assert {r for r, _, _ in file_rules(two)} == {"I7"}
+
+
+def test_html_faults():
+    from docloom.validation.rules import html_faults
+
+    assert html_faults("<!DOCTYPE html><html><body><p>a<br><p>b<ul><li>x<li>y</ul></body></html>") == []
+    assert html_faults("<div><b>x</div></i><a href=1 href=2>") == ["div ends before b", "end of i without its start", "attribute href twice in a", "a never ends"]
+    assert html_faults(None) == [] and html_faults("<span/>") == ["span cannot close itself", "span never ends"]
+
+
+def test_ids_in_markdown():
+    from docloom.sinks.writers import to_markdown
+
+    md = '<!-- id: first-1 -->\n# H\n\n<!-- id: b_0042 -->\ntext\n\n<!-- item: i1 -->\n- a\n<!-- item: i2 -->\n- b\n\n<!-- b_0050 -->\nold\n\n<!-- item: lost -->\n\n<table data-bid="t1">\n<tr><td data-bid="c1" width="30">x</td></tr>\n</table>\n'
+    blocks = parse_markdown(md)
+    assert [b.node_id for b in blocks][:2] == ["first-1", "b_0042"] and blocks[3].node_id == "b_0050" and blocks[4].node_id == "t1"
+    assert [i.node_id for i in blocks[2].children] == ["i1", "i2"]
+    cell = blocks[4].children[0].children[0]
+    assert cell.node_id == "c1" and cell.attrs == {"width": "30"}
+    again = parse_markdown(to_markdown(blocks, embed_ids=True))
+    assert [n.node_id for b in again for n in b.walk() if n.type != "paragraph"] == [n.node_id for b in blocks for n in b.walk() if n.type != "paragraph"]
+
+
+def test_escaped_signs_mark_nothing():
+    said = "a*b* **c** `d` [e](f) ~~g~~ \\ ***h*** <u>x</u>"
+    from docloom.sinks.writers import inlines_md
+
+    found = parse_inlines(inlines_md(parse_inlines(r"a\*b\* \*\*c\*\* \`d\` \[e\](f) \~\~g\~\~ \\ \*\*\*h\*\*\* x")))
+    assert "".join(i["text"] for i in found) == said.replace("<u>x</u>", "x") and not any(i["bold"] or i["italic"] or i["strike"] for i in found)
+    assert [i["text"] for i in parse_inlines(r"`a\*b`")] == [r"a\*b"]
