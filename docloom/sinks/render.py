@@ -22,7 +22,7 @@ def render_documents(nodes: DataFrame, fmt: str, **options) -> DataFrame:
     fmt = fmt.lower().strip().lstrip(".")
     if fmt not in WRITERS:
         raise ValueError(f"cannot render {fmt}")
-    binary = fmt in BINARY
+    binary, writer = fmt in BINARY, WRITERS[fmt]
 
     def run(batches):
         import pyarrow as pa
@@ -37,7 +37,7 @@ def render_documents(nodes: DataFrame, fmt: str, **options) -> DataFrame:
             for row in batch.to_pylist():
                 row["attrs"] = dict(row["attrs"] or [])
                 if held and row["doc_id"] != key:
-                    done.append((key, WRITERS[fmt](tree_of(held), **options)))
+                    done.append((key, writer(tree_of(held), **options)))
                     held = []
                 key = row["doc_id"]
                 held.append(row)
@@ -45,7 +45,7 @@ def render_documents(nodes: DataFrame, fmt: str, **options) -> DataFrame:
                     yield flush(done)
                     done = []
         if held:
-            done.append((key, WRITERS[fmt](tree_of(held), **options)))
+            done.append((key, writer(tree_of(held), **options)))
         yield flush(done)
 
     dealt = nodes.select(*NODES.names).repartition("doc_id").sortWithinPartitions("doc_id", "seq")

@@ -23,18 +23,19 @@ BINARY = ("docx", "hwp", "hwpx", "pdf")
 BATCH = 5_000
 
 
-def _parse(fmt: str, content) -> list[Node]:
-    if fmt not in PARSERS:
+def _parse(fmt: str, content, parsers=None, binary=None) -> list[Node]:
+    parsers, binary = parsers or PARSERS, binary or BINARY
+    if fmt not in parsers:
         return [Node("unknown", "b_0001", attrs={"error": f"no parser for {fmt}"})]
     try:
-        if isinstance(content, (bytes, bytearray)) and fmt not in BINARY:
+        if isinstance(content, (bytes, bytearray)) and fmt not in binary:
             content = bytes(content).decode("utf-8", "replace")
-        return PARSERS[fmt](content)
+        return parsers[fmt](content)
     except Exception as e:  # one bad document must not end the job; it is reported as an unknown block
         return [Node("unknown", "b_0001", attrs={"error": f"{type(e).__name__}: {e}"[:300]})]
 
 
-def _stage(batches):
+def _stage(batches, parsers=None, binary=None):
     import pyarrow as pa
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -43,7 +44,7 @@ def _stage(batches):
     for batch in batches:
         for doc_id, fmt, content in zip(*[batch.column(c).to_pylist() for c in ("doc_id", "format", "content")], strict=True):
             if content is not None:
-                rows = rows_of(doc_id, _parse(fmt, content))
+                rows = rows_of(doc_id, _parse(fmt, content, parsers, binary))
                 for row in rows:
                     row["attrs"] = list(row["attrs"].items())
                 held += rows
@@ -60,7 +61,12 @@ def parse_documents(docs: DataFrame, fmt: str | Column, text: str | Column = "te
     """
     kind = F.lit(fmt) if isinstance(fmt, str) else fmt
     content = F.col(text) if isinstance(text, str) else text
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), kind.alias("format"), content.alias("content")).mapInArrow(_stage, NODES)
+    parsers, binary = dict(PARSERS), BINARY  # as they are now, formats registered in the driver among them
+
+    def stage(batches):
+        return _stage(batches, parsers, binary)
+
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), kind.alias("format"), content.alias("content")).mapInArrow(stage, NODES)
 
 
 def parse_files(files: DataFrame) -> DataFrame:

@@ -35,6 +35,26 @@ FORMATS = {
     )
 }
 _BY_EXTENSION = {e: s.name for s in FORMATS.values() for e in s.extensions}
+
+
+def register(spec: FormatSpec, parser=None, writer=None) -> None:
+    """Makes a format known under its name and extensions, with a parser (content to blocks) and a writer (blocks to content).
+
+    Workers get both by import: they must be functions of a module that executors have.
+    """
+    from ..sinks import render
+    from . import parse
+
+    FORMATS[spec.name] = spec
+    _BY_EXTENSION.update(dict.fromkeys((e.lower() for e in spec.extensions), spec.name))
+    if parser is not None:
+        parse.PARSERS[spec.name] = parser
+        parse.BINARY = tuple(dict.fromkeys([*parse.BINARY, *([spec.name] if spec.binary else [])]))
+    if writer is not None:
+        render.WRITERS[spec.name] = writer
+        render.BINARY = tuple(dict.fromkeys([*render.BINARY, *([spec.name] if spec.binary else [])]))
+
+
 # The first bytes of containers, and the member that tells zip formats apart.
 MAGIC = {"d0cf11e0": "hwp", "504b0304": "zip", "25504446": "pdf"}
 ZIP_MEMBERS = (("META-INF/container.xml", "hwpx"), ("word/document.xml", "docx"), ("xl/workbook.xml", "xlsx"))

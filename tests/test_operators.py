@@ -137,3 +137,74 @@ def test_hwp_rules(spark):
     assert [(r["tag"], r["declared"], r["actual"]) for r in hwp.id_mapping_counts(records).collect()] == [(0x12, 0, 1)]
     assert [(r["tag"], r["before"]) for r in hwp.record_order(records).orderBy("seq").collect()] == [(0x15, 0x1A), (0x12, 0x15)]
     assert [(r["doc_id"], r["position"], r["signs"]) for r in hwp.character_shape_bounds(records).collect()] == [(2, 4, 4)]
+
+
+def test_tools_and_command_line(spark, tmp_path):
+    import io
+
+    from docloom import tools
+    from docloom.__main__ import main
+    from docloom.sinks.hwp import to_hwp
+    from docloom.sources.hwp import parse_hwp
+    from docloom.sources.markdown import parse_markdown
+
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "a.md").write_text("# T {{who}}\n\none\n\n- x\n- y\n")
+    (folder / "b.md").write_text("# T {{who}}\n\ntwo\n\n- x\n- y\n")
+    (folder / "c.hwp").write_bytes(to_hwp(parse_markdown("first\n\nsecond")))
+    path = str(folder / "a.md")
+
+    def run(*arguments):
+        out = io.StringIO()
+        return main(list(arguments), out), out.getvalue()
+
+    assert run("inspect", str(folder))[1].count("\n") == 7
+    assert run("convert", path, "-f", "html")[1].count("<li>") == 2
+    assert run("validate", str(folder))[0] == 0
+    code, said = run("diff", path, str(folder / "b.md"))
+    assert code == 1 and "text changed" in said
+    assert "hwp" in run("info", "hwp")[1] and run("info", "nothing")[0] == 2
+    exported = run("export", path)[1]
+    assert tools.parse_source_header(exported)["blocks"] == "3" and tools.parse_source_header("x") is None
+    merged = tools.import_md(spark, path, exported.replace("one", "1").replace("- y", "- z")).collect()
+    assert [r["inlines"][0]["text"] for r in sorted(merged, key=lambda r: r["seq"]) if r["inlines"]] == ["1", "x", "z"]
+    (tmp_path / "c.md").write_text("<!-- id: b_0002 -->\nchanged\n")
+    assert run("patch", str(folder / "c.hwp"), "--md", str(tmp_path / "c.md"), "-o", str(tmp_path / "d.hwp"))[0] == 0
+    assert [b.inlines[0]["text"] for b in parse_hwp((tmp_path / "d.hwp").read_bytes())] == ["first", "changed"]
+    assert [r["key"] for r in tools.list_placeholders(spark, path).collect()] == ["who"]
+    assert tools.fill_template(spark, path, {"who": "me"}).where("type = 'heading'").first()["text"] == "T me"
+    assert tools.apply_edits(spark, path, [{"block_id": "b_0002", "text": "new"}]).where("node_id = 'b_0002'").first()["inlines"][0]["text"] == "new"
+    assert tools.insert_blocks(spark, path, [{"type": "paragraph", "text": "more"}], "b_0001").where("seq = 1").first()["inlines"][0]["text"] == "more"
+    assert tools.remove_blocks(spark, path, ["b_0001"]).count() == 4
+    assert "Tools" in tools.describe() and "paragraph" in tools.describe("blocks") and "Unknown" in tools.describe("x")
+
+
+def test_registered_format(spark):
+    from docloom.sinks import render_documents
+    from docloom.sinks.writers import to_markdown
+    from docloom.sources import registry
+    from docloom.sources.markdown import parse_markdown
+
+    registry.register(registry.FormatSpec("note", (".note",), "text/x-note", True, True), parse_markdown, to_markdown)
+    docs = spark.createDataFrame([(1, "a\n\nb")], "doc_id long, text string")
+    nodes = parse_documents(docs, "note")
+    assert nodes.count() == 2 and render_documents(nodes, "note").first()["content"] == "a\n\nb\n"
+    assert spark.range(1).select(registry.format_of(F.lit("x.NOTE"))).first()[0] == "note"
+
+
+def test_nested_roots_and_null_ids(spark):
+    from docloom.operators import edit, query
+
+    nodes = parse_documents(spark.createDataFrame([(None, "> a\n\n- x\n- y\n\nlast"), (1, "- x\n- y")], "doc_id long, text string"), "md")
+    lists = nodes.where("type = 'list'")
+    both = lists.unionByName(nodes.where("kind = 'list_item'"))
+    assert query.subtree(nodes, both).count() == 6
+    assert query.marked_inside(nodes, lists, strict=True).where("_inside").count() == 4
+    formats = spark.createDataFrame([(1, "b_0001", {"a": "1", "b": "2"})], "doc_id long, node_id string, fmt map<string,string>")
+    once = edit.set_block_format(nodes, formats)
+    twice = edit.set_block_format(once, spark.createDataFrame([(1, "b_0001", {"a": "3", "b": None})], "doc_id long, node_id string, fmt map<string,string>"))
+    assert [(r["name"], r["value"]) for r in edit.get_block_format(twice, "b_0001").where("doc_id = 1").collect()] == [("a", "3")]
+    meta = spark.createDataFrame([(1, "title", "x"), (1, "author", "y")], "doc_id long, name string, value string")
+    changed = edit.set_metadata(meta, spark.createDataFrame([(1, "title", "z"), (1, "author", None)], "doc_id long, name string, value string"))
+    assert [(r["name"], r["value"]) for r in changed.collect()] == [("title", "z")]
