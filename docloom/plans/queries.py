@@ -344,7 +344,7 @@ def detect_format(spark, sf_dir):
     return _read(spark, sf_dir, "documents").select(file.alias("file")).withColumn("format", format_of(F.col("file")))
 
 
-@register("SELECT * FROM (VALUES ('md', true, true), ('html', true, true), ('xml', true, false), ('docx', true, true), ('hwpx', true, true), ('hwp', true, false), ('pdf', true, false)) v(name, parses, renders)")
+@register("SELECT * FROM (VALUES ('md', true, true), ('html', true, true), ('xml', true, false), ('docx', true, true), ('hwpx', true, true), ('hwp', true, true), ('pdf', true, false)) v(name, parses, renders)")
 def formats(spark, sf_dir):
     return spark.createDataFrame([(s.name, s.parses, s.renders) for s in FORMATS.values()], "name string, parses boolean, renders boolean")
 

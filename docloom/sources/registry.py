@@ -55,6 +55,17 @@ def register(spec: FormatSpec, parser=None, writer=None) -> None:
         render.BINARY = tuple(dict.fromkeys([*render.BINARY, *([spec.name] if spec.binary else [])]))
 
 
+def unregister(name: str) -> None:
+    """Forgets a format, with its extensions, parser and writer."""
+    from ..sinks import render
+    from . import parse
+
+    for known in (FORMATS, parse.PARSERS, render.WRITERS):
+        known.pop(name, None)
+    for e in [e for e, n in _BY_EXTENSION.items() if n == name]:
+        del _BY_EXTENSION[e]
+
+
 # The first bytes of containers, and the member that tells zip formats apart.
 MAGIC = {"d0cf11e0": "hwp", "504b0304": "zip", "25504446": "pdf"}
 ZIP_MEMBERS = (("META-INF/container.xml", "hwpx"), ("word/document.xml", "docx"), ("xl/workbook.xml", "xlsx"))

@@ -191,6 +191,8 @@ def test_registered_format(spark):
     nodes = parse_documents(docs, "note")
     assert nodes.count() == 2 and render_documents(nodes, "note").first()["content"] == "a\n\nb\n"
     assert spark.range(1).select(registry.format_of(F.lit("x.NOTE"))).first()[0] == "note"
+    registry.unregister("note")
+    assert spark.range(1).select(registry.format_of(F.lit("x.NOTE"))).first()[0] is None
 
 
 def test_nested_roots_and_null_ids(spark):
