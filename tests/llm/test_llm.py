@@ -573,6 +573,43 @@ def test_neighbours(spark):
     assert ann.nearest_neighbours(vectors.limit(0), F.col("vec_id") == 0).count() == 0
 
 
+def test_neighbours_beyond_the_sample(spark, monkeypatch):
+    monkeypatch.setattr(ann, "SAMPLE", 300)
+    rng = np.random.default_rng(12)
+    x = rng.standard_normal((3000, 24)) + 2 * rng.standard_normal((40, 24))[rng.integers(0, 40, 3000)]
+    vectors = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = unit[::50] @ unit.T
+    near[np.arange(60), np.arange(0, 3000, 50)] = -9
+    best = np.argsort(-near, axis=1, kind="stable")[:, :5]
+    found = {}
+    for r in ann.nearest_neighbours(vectors, F.col("vec_id") % 50 == 0).collect():
+        found.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    assert all([g[0] for g in sorted(f)] == [1, 2, 3, 4, 5] for f in found.values()) and len(found) == 60
+    assert all(abs(near[q // 50, v] - s) < 1e-12 for q, f in found.items() for _, v, s in f)
+    assert sum(len({g[1] for g in f} & set(best[q // 50])) for q, f in found.items()) / 300 >= 0.9
+
+
+def test_seeded_bounds_lose_nothing():
+    rng = np.random.default_rng(13)
+    x, ids = rng.standard_normal((900, 12)), np.arange(900)
+    x[400:420] = x[5]
+    bounds, row, column, score = ann.seed_bounds(x[:30], ids[:30], x[300:500], ids[300:500], 5)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    for q in range(30):
+        near = unit[300:500] @ unit[q]
+        assert np.isclose(bounds[q], 2 - 2 * np.sort(near)[-5])
+        assert np.allclose(np.sort(score[row == q]), np.sort(near)[-5:])
+    rotation = np.eye(12)
+    plain = ann.scan_list(x, ids, x[:30], ids[:30], rotation, 5)
+    seeded = ann.scan_list(x, ids, x[:30], ids[:30], rotation, 5, bounds)
+    truth = np.sort(unit[:30] @ unit.T - 9 * np.eye(900)[:30], axis=1)[:, -5:]
+    assert np.mean([len({p[1] for p in plain if p[0] == q} & {p[1] for p in seeded if p[0] == q}) / 5 for q in range(30)]) >= 0.95
+    assert np.mean([np.isclose(s, truth[q], atol=1e-9).any() for q, _, s in seeded]) >= 0.95
+    few = ann.seed_bounds(x[:2], ids[:2], x[:3], ids[:3], 5)
+    assert np.isinf(few[0]).all() and len(few[1]) == 4
+
+
 def test_neighbours_with_repeated_ids(spark):
     rng = np.random.default_rng(9)
     x = rng.standard_normal((12, 8))
