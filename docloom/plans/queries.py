@@ -831,3 +831,37 @@ def merge_table_cells(spark, sf_dir):
 def remove_rows_and_columns(spark, sf_dir):
     left = tables.remove_column(tables.remove_rows(_small_table(spark, sf_dir), "t1", 1), "t1", 0)
     return tables.cell_texts(left).select("doc_id", "row_idx", "cell_idx", "text")
+
+
+def _pdf_files(docs: DataFrame) -> DataFrame:
+    """One PDF page for each document: a heading, a ruled table, the whole text under a link, a picture, a footnote."""
+    number, said = F.col("doc_id").cast("string"), F.concat(F.lit("text: "), F.coalesce("text", F.lit("")))
+    rules = "72 660 m 272 660 l S 72 640 m 272 640 l S 72 620 m 272 620 l S 72 620 m 72 660 l S 172 620 m 172 660 l S 272 620 m 272 660 l S "
+    page = F.concat(
+        F.lit(rules + "BT /F1 20 Tf 72 700 Td (D) Tj ET BT /F1 10 Tf 80 645 Td ("), "lang", F.lit(") Tj 100 0 Td ("), "source", F.lit(") Tj -100 -20 Td (c) Tj -8 -125 Td <"), F.hex(F.encode(said, "UTF-8")),
+        F.lit("> Tj ET q 60 0 0 40 72 300 cm /P Do Q 72 110 m 400 110 l S BT /F1 10 Tf 72 80 Td (1. "), number, F.lit(") Tj ET"),
+    )
+    image = F.concat(F.lit("jpeg"), number)
+
+    def stream(head: str, content: Column) -> Column:
+        return F.concat(F.lit(f"<< {head} /Length "), F.length(content).cast("string"), F.lit(" >>\nstream\n"), content, F.lit("\nendstream"))
+
+    objects = [
+        F.lit("<< /Type /Catalog /Pages 2 0 R >>"), F.lit("<< /Type /Pages /Kids [4 0 R] /MediaBox [0 0 612 792] >>"), F.lit("<< /Type /Font /BaseFont /Helvetica >>"),
+        F.lit("<< /Type /Page /Resources << /Font << /F1 3 0 R >> /XObject << /P 6 0 R >> >> /Contents 5 0 R /Annots [7 0 R] >>"), stream("", page), stream("/Subtype /Image /Filter /DCTDecode", image),
+        F.concat(F.lit("<< /Subtype /Link /Rect [72 495 90 510] /A << /S /URI /URI (https://example.org/"), number, F.lit(") >> >>")),
+    ]
+    parts = [part for n, o in enumerate(objects, 1) for part in (F.lit(f"{n} 0 obj\n"), o, F.lit("\nendobj\n"))]
+    return docs.select("doc_id", F.encode(F.concat(F.lit("%PDF-1.4\n"), *parts), "UTF-8").alias("content"))
+
+
+@register(
+    "SELECT doc_id, unnest(['heading', 'paragraph', 'paragraph', 'paragraph', 'paragraph', 'image', 'paragraph']) AS type, unnest(['blocks', 'content', 'content', 'content', 'blocks', 'blocks', 'content']) AS slot,"
+    " unnest(['', '', '', '', 'https://example.org/' || doc_id, '', '']) AS url, unnest([md5('D'), md5(lang), md5(source), md5('c'), md5('text: ' || coalesce(text, '')), md5('data:image/jpeg;base64,' || base64(encode('jpeg' || doc_id))), md5(CAST(doc_id AS VARCHAR))]) AS digest FROM documents"
+)
+def pdf_blocks(spark, sf_dir):
+    """Headings, cells, links, pictures and footnotes read from PDF pages; the page's font shows UTF-8 bytes as Latin-1 signs, which the digest undoes."""
+    nodes = parse_documents(_pdf_files(_read(spark, sf_dir, "documents")), "pdf", "content").where("type in ('heading', 'paragraph', 'image')")
+    value = F.when(F.col("type") == "image", F.col("attrs")["src"]).otherwise(query.own_text())
+    url = F.coalesce(F.array_max(F.transform("inlines", lambda i: i["url"])), F.lit(""))
+    return nodes.select("doc_id", "type", "slot", url.alias("url"), F.md5(F.encode(value, "ISO-8859-1")).alias("digest"))

@@ -224,44 +224,56 @@ def pdf_spans(files: DataFrame, content: str = "content") -> DataFrame:
 def parse_pdf(content: bytes, ids=None) -> list:
     """Blocks of one file by the rules of :mod:`docloom.operators.layout`: running heads and feet go, headings by size.
 
-    For many pages use :func:`pdf_spans` and the operators, which do the same over whole corpora.
+    Of each page come, from top to bottom, its lines, ruled tables, pictures and drawings, then the
+    footnotes under a rule. A text belongs to the cell in which it starts, as widths are estimates.
+    A paragraph that a link overlaps becomes a link. For many pages use :func:`pdf_spans` and the
+    operators, which do the same for lines over whole corpora.
     """
     from collections import Counter
 
     from ..model import Ids, Node, inline
     from ..operators.layout import BOLD_LEVEL, BOLD_SHARE, HEADING_RATIOS, LEAST_RATIO
+    from . import pdfmarks
 
     if b"/Encrypt" in content:
         raise ValueError("the document is encrypted")
-    pdf, ids, found = Pdf(content), ids or Ids(), []
+    pdf, ids, found, held = Pdf(content), ids or Ids(), [], []
     pages = pdf.pages()
     weights: Counter = Counter()
     for number, page in enumerate(pages):
+        box, marks = pdfmarks.media_box(pdf, page), pdfmarks.page_marks(pdf, page)
+        tables = pdfmarks.grids(marks, box)
+        cells: list[dict] = [{} for _ in tables]
         spans = sorted(page_spans(pdf, page), key=lambda s: (-s[1], s[0]))
         before = None
-        for x0, y0, _, y1, text, size, bold in spans:
+        for x0, y0, x1, y1, text, size, bold in spans:
             n = len(re.sub(r"\s", "", text))
             weights[size] += n
+            home = next(((k, at) for k, t in enumerate(tables) if (at := t.cell(x0, (y0 + y1) / 2))), None)
+            if home:
+                cells[home[0]].setdefault(home[1], []).append(text)
+                continue
             if before is not None and abs(before - y0) <= 2:
                 line = found[-1]
                 line["text"] += " " + text
-                line["size"], line["bold"], line["n"] = max(line["size"], size), line["bold"] + bold * n, line["n"] + n
+                line["size"], line["bold"], line["n"], line["x1"] = max(line["size"], size), line["bold"] + bold * n, line["n"] + n, max(line["x1"], x1)
             else:
-                found.append({"page": number, "y0": y0, "y1": y1, "text": text, "size": size, "bold": bold * n, "n": n})
+                found.append({"page": number, "x0": x0, "y0": y0, "x1": x1, "y1": y1, "text": text, "size": size, "bold": bold * n, "n": n})
             before = y0
-    if not found:
-        return []
-    body = min(weights, key=lambda s: (-weights[s], s))
-    top = max(line["y1"] for line in found)
+        held.append((marks, tables, cells, pdfmarks.drawing(marks, tables), pdfmarks.notes_below(marks, box), pdfmarks.links(pdf, page)))
+    body = min(weights, key=lambda s: (-weights[s], s)) if weights else 1.0
+    top = max((line["y1"] for line in found), default=0.0)
     on_pages: dict[tuple, set] = {}
     for line in found:
         if line["y0"] < top * 0.08 or line["y1"] > top * 0.92:
             on_pages.setdefault((line["text"], round(line["y0"] / 5)), set()).add(line["page"])
     repeated = {k for k, on in on_pages.items() if len(on) >= 2 and len(on) >= 0.5 * len(pages)}
     out: list = []
-    for line in found:
-        if (line["text"], round(line["y0"] / 5)) in repeated:
-            continue
+
+    def paragraph(text: str):
+        return Node("paragraph", ids(), inlines=[inline(text=text)])
+
+    def add_line(line: dict, linked: list) -> None:
         ratio, text = line["size"] / body, line["text"]
         level = next((n for least, n in HEADING_RATIOS if ratio >= least), 4 if ratio > LEAST_RATIO else BOLD_LEVEL if line["bold"] >= BOLD_SHARE * line["n"] and line["n"] else None)
         item = re.match(r"\s*([-*•▪◦]|\d+[.)])\s+(.*)", text, re.S)
@@ -273,5 +285,43 @@ def parse_pdf(content: bytes, ids=None) -> list:
                 out.append(Node("list", ids(), ordered=ordered, start=int(item[1][:-1]) if ordered else None))
             out[-1].add(Node("list_item", ids(), kind="list_item", inlines=[inline(text=item[2])]), "items")
         else:
-            out.append(Node("paragraph", ids(), inlines=[inline(text=text)]))
+            url = next((url for place, url in linked if pdfmarks.overlap((line["x0"], line["y0"], line["x1"], line["y1"]), place)), None)
+            out.append(Node("paragraph", ids(), inlines=[inline("link" if url else "text", text, url=url)]))
+
+    def add_table(grid, texts: dict) -> None:
+        table = Node("table", ids())
+        for r in range(len(grid.ys) - 1):
+            row = table.add(Node("table_row", None, kind="table_row", is_header=False), "rows")
+            for c in range(len(grid.xs) - 1):
+                cell = row.add(Node("table_cell", ids(), kind="table_cell", row_span=1, col_span=1), "cells")
+                if (r, c) in texts:
+                    cell.add(paragraph(" ".join(texts[r, c])), "content")
+        out.append(table)
+
+    by_page: list[list[dict]] = [[] for _ in pages]
+    for line in found:
+        by_page[line["page"]].append(line)
+    for lines, (marks, tables, cells, drawn, notes, linked) in zip(by_page, held, strict=True):
+        placed: list[tuple] = [(-t.ys[-1], 1, lambda t=t, texts=texts: add_table(t, texts)) for t, texts in zip(tables, cells, strict=True)]
+        for (x0, y0, x1, y1), number in marks.images:
+            attrs = {"src": pdfmarks.picture(pdf, number), "width": round(x1 - x0, 2), "height": round(y1 - y0, 2)}
+            placed.append((-y1, 1, lambda attrs=attrs: out.append(Node("image", ids(), attrs=attrs))))
+        if drawn:
+            placed.append((-drawn[3], 1, lambda box=drawn: out.append(Node("drawing", ids(), attrs={"kind": "chart", "box": " ".join(f"{v:g}" for v in box)}))))
+        below = []
+        for line in lines:
+            if (line["text"], round(line["y0"] / 5)) in repeated:
+                continue
+            note = pdfmarks.NOTE.match(line["text"]) if notes is not None and (line["y0"] + line["y1"]) / 2 <= notes else None
+            if note:
+                below.append((note[1], line["text"][note.end() :].strip()))
+            else:
+                placed.append((-line["y0"], 0, lambda line=line: add_line(line, linked)))
+        for _, _, add in sorted(placed, key=lambda p: p[:2]):
+            add()
+        for ref, text in below:
+            note = Node("footnote", ids(), attrs={"ref": ref})
+            if text:
+                note.add(paragraph(text), "content")
+            out.append(note)
     return out

@@ -341,3 +341,40 @@ def test_escaped_signs_mark_nothing():
     found = parse_inlines(inlines_md(parse_inlines(r"a\*b\* \*\*c\*\* \`d\` \[e\](f) \~\~g\~\~ \\ \*\*\*h\*\*\* x")))
     assert "".join(i["text"] for i in found) == said.replace("<u>x</u>", "x") and not any(i["bold"] or i["italic"] or i["strike"] for i in found)
     assert [i["text"] for i in parse_inlines(r"`a\*b`")] == [r"a\*b"]
+
+
+def marked_pdf():
+    ruled = b"1 w 72 600 m 272 600 l S 72 580 m 272 580 l S 72 560 m 272 560 l S 72 560 m 72 600 l S 172 560 m 172 600 l S 272 560 m 272 600 l S "
+    texts = b"BT /F1 20 Tf 72 700 Td (Report) Tj ET BT /F1 10 Tf 72 650 Td (read the site here for more of it) Tj 6 -65 Td (a) Tj 100 0 Td (b) Tj -100 -20 Td (c) Tj 120 0 Td (d) Tj ET "
+    more = b"0 0 5 5 re n q 50 0 0 40 72 500 cm /Im1 Do /Im1 Do Q q 2 0 0 2 72 400 cm /Im1 Do Q 72 110 m 300 110 l S BT /F1 10 Tf 72 80 Td (1. a note) Tj 0 300 Td (last words of the page) Tj ET "
+    curves = b" ".join(b"%d 300 m %d 310 %d 340 %d 360 c S" % (100 + 9 * i, 105 + 9 * i, 110 + 9 * i, 120 + 9 * i) for i in range(8))
+    page = ruled + texts + more + curves
+    objects = [
+        b"<< /Type /Catalog /Pages 2 0 R /AcroForm 9 0 R >>", b"<< /Type /Pages /Kids [4 0 R] /MediaBox [0 0 612 792] >>", b"<< /Type /Font /BaseFont /Helvetica >>",
+        b"<< /Type /Page /Resources << /Font << /F1 3 0 R >> /XObject << /Im1 6 0 R >> >> /Contents 5 0 R /Annots [7 0 R] >>",
+        b"<< /Length %d >>\nstream\n" % len(page) + page + b"\nendstream",
+        b"<< /Subtype /Image /Width 2 /Height 1 /ColorSpace /DeviceRGB /BitsPerComponent 8 /Length 6 >>\nstream\n\xff\0\0\0\0\xff\nendstream",
+        b"<< /Subtype /Link /Rect [70 645 200 665] /A << /S /URI /URI (https://example.org/\\(x\\)) >> >>", b"<< /Title (A \\(title\\)) /Author <FEFF00E9> >>",
+    ]
+    return b"%PDF-1.4\n" + b"".join(b"%d 0 obj\n%s\nendobj\n" % (i, o) for i, o in enumerate(objects, 1)) + b"trailer << /Info 8 0 R >>"
+
+
+def test_pdf_marks():
+    from docloom.sources import pdfmarks
+    from docloom.sources.pdf import Pdf, parse_pdf
+
+    content = marked_pdf()
+    blocks = parse_pdf(content)
+    assert [b.type for b in blocks] == ["heading", "paragraph", "table", "image", "paragraph", "drawing", "footnote"]
+    assert (blocks[1].inlines[0]["type"], blocks[1].inlines[0]["url"]) == ("link", "https://example.org/(x)") and blocks[4].inlines[0]["type"] == "text"
+    assert [[c.children[0].inlines[0]["text"] for c in r.children] for r in blocks[2].children] == [["a", "b"], ["c", "d"]]
+    assert blocks[3].attrs["src"].startswith("data:image/png;base64,iVBORw0KGgo") and (blocks[3].attrs["width"], blocks[3].attrs["height"]) == (50, 40)
+    assert blocks[6].attrs == {"ref": "1"} and blocks[6].children[0].inlines[0]["text"] == "a note"
+    pdf = Pdf(content)
+    assert pdfmarks.metadata(content, pdf) == {"title": "A (title)", "author": "é", "created_at": None, "modified_at": None, "page_width": 612.0, "page_height": 792.0}
+    assert {"form_fields", "table_structure_heuristic"} <= set(pdfmarks.dropped_features(pdf, blocks)) and "document_outline" not in pdfmarks.dropped_features(pdf, blocks)
+    frame = pdfmarks.Marks(rects=[(5.0, 5.0, 607.0, 787.0)])
+    assert pdfmarks.grids(frame, (0, 0, 612, 792)) == [] and pdfmarks.grids(pdfmarks.Marks(rects=[(50.0, 50.0, 90.0, 90.0)]), (0, 0, 612, 792))[0].box == (50, 50, 90, 90)
+    apart = pdfmarks.Marks(rects=[(50.0, y, 90.0, y + 10.0) for y in (50.0, 60.0, 300.0, 310.0)])
+    assert [g.ys for g in pdfmarks.grids(apart, (0, 0, 612, 792))] == [[50, 60, 70], [300, 310, 320]]
+    assert parse_pdf(b"%PDF-1.4") == []
