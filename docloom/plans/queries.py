@@ -865,3 +865,21 @@ def pdf_blocks(spark, sf_dir):
     value = F.when(F.col("type") == "image", F.col("attrs")["src"]).otherwise(query.own_text())
     url = F.coalesce(F.array_max(F.transform("inlines", lambda i: i["url"])), F.lit(""))
     return nodes.select("doc_id", "type", "slot", url.alias("url"), F.md5(F.encode(value, "ISO-8859-1")).alias("digest"))
+
+
+@register("SELECT doc_id, lang AS text, doc_id % 50 + 0.5 AS size, '#ab' || lpad(CAST(doc_id % 10000 AS VARCHAR), 4, '0') AS color, CAST(doc_id AS DOUBLE) AS width, doc_id || '.0pt' AS old_width, (doc_id % 50) || '.5pt' AS old_size, source AS moved FROM documents")
+def migrate_nested(spark, sf_dir):
+    """Sizes and colours in inlines, lengths in attrs and fields of one format, to the newer schema and back."""
+    from .. import migration
+
+    docs = _read(spark, sf_dir, "documents")
+    number = F.col("doc_id").cast("string")
+    color = F.concat(F.lit("#AB"), F.lpad((F.col("doc_id") % 10000).cast("string"), 4, "0"))
+    size = F.concat((F.col("doc_id") % 50).cast("string"), F.lit(".5pt"))
+    inlines = F.array(F.struct(F.col("lang").alias("text"), size.alias("size"), color.alias("color")))
+    old = docs.select("doc_id", inlines.alias("inlines"), F.create_map(F.lit("width"), F.concat(number, F.lit("pt")), F.lit("own"), F.col("source")).alias("attrs"))
+    new = migration.collect_extensions(migration.v1_to_v2(old), "hwp", ["own"])
+    new = new.withColumns({"_new": F.col("inlines"), "_width": F.col("attrs")["width"].cast("double")})
+    back = migration.v2_to_v1(new)
+    first = F.col("_new")[0]
+    return back.select("doc_id", first["text"].alias("text"), first["size"].alias("size"), first["color"].alias("color"), F.col("_width").alias("width"), F.col("attrs")["width"].alias("old_width"), F.col("inlines")[0]["size"].alias("old_size"), F.col("extensions")["hwp.own"].alias("moved"))

@@ -27,6 +27,7 @@ class Package:
         self.zip = zipfile.ZipFile(io.BytesIO(content))
         self.names = set(self.zip.namelist())
         self.targets = {e.get("Id"): e.get("Target") for e in self.tree("word/_rels/document.xml.rels")}
+        self.spacings = None
         self.levels: dict[str, int] = {}
         for style in self.tree("word/styles.xml"):
             if local(style.tag) == "style" and style.get(W + "type") == "paragraph":
@@ -133,7 +134,8 @@ def _paragraph(p, package: Package, ids: Ids) -> list[Node]:
     if level is not None:
         out.append(Node("heading", ids(), level=min(level, 6), text="".join(i["text"] or "" for i in inlines), inlines=inlines))
     elif inlines or not extra:
-        out.append(Node("paragraph", ids(), inlines=inlines))
+        formats = package.spacings.of(p) if package.spacings else {}
+        out.append(Node("paragraph", ids(), inlines=inlines, attrs={f"format.{k}": v for k, v in formats.items()}))
     out += extra
     if broke:
         out.append(Node("page_break", ids()))
@@ -208,7 +210,10 @@ def _table(tbl, package: Package, ids: Ids, depth: int) -> Node:
 
 
 def parse_docx(content: bytes, ids: Ids | None = None) -> list[Node]:
+    from .docxmeta import Spacings
+
     package, ids = Package(content), ids or Ids()
+    package.spacings = Spacings(package)
     body = package.tree("word/document.xml").find(W + "body")
     blocks = _body(body, package, ids)
     for part, kind in (("footnotes", "footnote"), ("endnotes", "endnote")):

@@ -126,6 +126,35 @@ def test_migration_round_trip(spark):
     assert [(r["type"], r["width"], r["line_spacing"]) for r in again] == [("unknown", "12.0pt", "160%"), ("paragraph", "28.3pt", "20.0pt"), ("paragraph", None, None)]
 
 
+def test_migration_of_nested_fields(spark):
+    import pytest
+
+    from docloom import migration as m
+
+    schema = "type string, inlines array<struct<type:string,text:string,size:string,color:string>>, attrs map<string,string>"
+    rows = [("chart", [("text", "a", "10.5pt", "#FF0000"), ("text", None, None, "red"), ("text", "c", "10mm", None)], {"width": "20mm", "format.space_before": "6pt", "background_color": "#ABCDEF", "color": "red", "z": "10pt", "numbering": "3"}), ("paragraph", None, None), ("image", [], {})]
+    old = spark.createDataFrame(rows, schema)
+    new = m.v1_to_v2(old).collect()
+    assert [(i["text"], i["size"] and round(i["size"], 3), i["color"]) for i in new[0]["inlines"]] == [("a", 10.5, "#ff0000"), (None, None, None), ("c", 28.346, None)]
+    assert {k: v[:6] for k, v in new[0]["attrs"].items()} == {"width": "56.692", "format.space_before": "6.0", "background_color": "#abcde"[:6], "z": "10pt", "numbering": "3"}
+    assert (new[1]["inlines"], new[1]["attrs"], new[2]["attrs"]) == (None, None, {})
+    again = m.v2_to_v1(m.v1_to_v2(old)).collect()
+    assert [i["size"] for i in again[0]["inlines"]] == ["10.5pt", None, "28.3pt"] and again[0]["type"] == "unknown"
+    assert again[0]["attrs"] == {"width": "56.7pt", "format.space_before": "6.0pt", "background_color": "#abcdef", "z": "10pt", "numbering": "3", "was": "chart"} and again[1]["attrs"] is None
+    moved = m.collect_extensions(old, "hwp", ["numbering", "z"])
+    assert [(r["extensions"], set(r["attrs"] or ())) for r in moved.collect()][0] == ({"hwp.z": "10pt", "hwp.numbering": "3"}, {"width", "format.space_before", "background_color", "color"})
+    assert [r["extensions"] for r in moved.collect()][1:] == [{}, {}]
+    back = m.look_up_extensions(moved, "hwp").collect()
+    assert back[0]["attrs"] == rows[0][2] and back[0]["extensions"] == {}
+    assert m.look_up_extensions(moved, "docx").collect()[0]["extensions"] == {"hwp.z": "10pt", "hwp.numbering": "3"}
+    assert m.create_extension("pdf", a=1, b=None) == {"pdf.a": "1"}
+    with pytest.raises(ValueError):
+        m.create_extension("odt")
+    meta = spark.createDataFrame([(1, "title", "t"), (1, "paper_width", "210mm"), (1, "gutter", "wide")], "doc_id long, name string, value string")
+    assert [(r["name"], r["value"] and r["value"][:7]) for r in m.metadata_to_v2(meta).collect()] == [("title", "t"), ("page_width", "595.275"), ("gutter", None)]
+    assert [(r["name"], r["value"]) for r in m.metadata_to_v1(m.metadata_to_v2(meta)).collect()] == [("title", "t"), ("paper_width", "210.0mm"), ("gutter", None)]
+
+
 def test_hwp_rules(spark):
     import struct
 

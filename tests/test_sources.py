@@ -378,3 +378,29 @@ def test_pdf_marks():
     apart = pdfmarks.Marks(rects=[(50.0, y, 90.0, y + 10.0) for y in (50.0, 60.0, 300.0, 310.0)])
     assert [g.ys for g in pdfmarks.grids(apart, (0, 0, 612, 792))] == [[50, 60, 70], [300, 310, 320]]
     assert parse_pdf(b"%PDF-1.4") == []
+
+
+def test_docx_sections_properties_and_spacings(spark):
+    import io
+    import zipfile
+
+    from docloom.sources.docxmeta import docx_properties, docx_sections
+
+    w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+    first = '<w:sectPr><w:type w:val="continuous"/><w:pgSz w:w="12240" w:h="15840" w:orient="landscape"/><w:pgMar w:top="1440" w:gutter="x"/><w:cols w:num="2" w:space="720" w:sep="1"><w:col w:w="2000"/></w:cols><w:pgNumType w:start="3" w:fmt="upperRoman"/><w:pgBorders><w:top w:val="single" w:sz="12" w:color="auto"/><w:left w:val="none"/></w:pgBorders><w:lnNumType/></w:sectPr>'
+    body = f'<w:p><w:pPr><w:spacing w:before="100"/>{first}</w:pPr><w:r><w:t>a</w:t></w:r></w:p><w:p><w:pPr><w:pStyle w:val="S"/></w:pPr><w:r><w:t>b</w:t></w:r></w:p><w:sectPr/>'
+    styles = '<w:docDefaults/><w:style w:type="paragraph" w:default="1" w:styleId="N"><w:pPr><w:spacing w:after="200" w:line="276" w:lineRule="auto"/></w:pPr></w:style><w:style w:type="paragraph" w:styleId="S"><w:pPr><w:spacing w:line="300" w:lineRule="exact"/></w:pPr></w:style>'
+    core = '<c:coreProperties xmlns:c="x" xmlns:dc="http://purl.org/dc/elements/1.1/"><dc:title>T</dc:title><dc:creator>me</dc:creator><dc:language/></c:coreProperties>'
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as archive:
+        for name, xml in {"word/document.xml": f"<w:document {w}><w:body>{body}</w:body></w:document>", "word/styles.xml": f"<w:styles {w}>{styles}</w:styles>", "docProps/core.xml": core}.items():
+            archive.writestr(name, xml)
+    package = out.getvalue()
+    assert [b.attrs for b in parse_docx(package)] == [{"format.space_before": "5pt", "format.space_after": "10pt", "format.line_spacing": "115%"}, {"format.line_spacing": "15pt"}]
+    files = spark.createDataFrame([(1, package), (2, None), (3, b"junk")], "doc_id long, content binary")
+    one, two = docx_sections(files).orderBy("n").collect()
+    assert (one["page_width"], one["page_height"], one["margin_top"], one["margin_gutter"], one["orientation"], one["break_type"]) == (612.0, 792.0, 72.0, None, "landscape", "continuous")
+    assert (one["start_page_number"], one["page_number_format"], one["border_top"], one["border_left"], one["line_numbering"]) == (3, "roman_upper", "1.5pt solid #000000", None, True)
+    assert one["columns"].asDict() == {"count": 2, "gap": 36.0, "separator": True, "same_width": False, "widths": [100.0]}
+    assert two["page_width"] is None and two["columns"] is None
+    assert [r.asDict() for r in docx_properties(files).collect()] == [{"doc_id": 1, "title": "T", "author": "me", "created_at": None, "modified_at": None, "language": None}]
