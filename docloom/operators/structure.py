@@ -105,23 +105,46 @@ def dense_ids(df: DataFrame, key: str, value: str, order: str) -> DataFrame:
     return firsts.select(key, value, (F.row_number().over(Window.partitionBy(key).orderBy("first")) - 1).cast("long").alias("id"))
 
 
+#: Ids in one piece of equal boxes; pieces of a square in one part of it; tasks that meet the parts, at least.
+#: A task holds the pairs of one piece with one part at a time, PIECE * PIECE * PART rows at most.
+PIECE, PART, TASKS = 32, 128, 64
+
+
 def overlapping(boxes: DataFrame, page: str, least: float = 0.0, cell: float = 50.0) -> DataFrame:
     """Pairs of boxes (id, x0, y0, x1, y1) of a page that overlap by more than ``least``; ids ascending.
 
     Only boxes that share a square of side ``cell`` on the page meet; the square of the overlap's
-    first corner reports a pair, so none comes twice.
+    first corner reports a pair, so none comes twice. Equal boxes meet others once, as pieces of a
+    list of their ids; ids are paired only where pieces overlap. A square's pieces are met in parts,
+    each with each, so neither a full page nor a full square falls to one task. Ids that are null pair
+    with nothing.
     """
 
     def squares(low: str, high: str) -> Column:
         return F.sequence(F.floor(F.col(low) / cell), F.floor(F.col(high) / cell))
 
-    placed = boxes.where("x1 >= x0 and y1 >= y0").withColumn("_cx", F.explode(squares("x0", "x1"))).withColumn("_cy", F.explode(squares("y0", "y1")))
-    a, b = placed.alias("a"), placed.alias("b")
+    corners = ["x0", "y0", "x1", "y1"]
+    equal = boxes.where("x1 >= x0 and y1 >= y0 and id is not null").groupBy(page, *corners).agg(F.sort_array(F.collect_list("id")).alias("_all"))
+    pieces = F.transform(F.sequence(F.lit(1), F.size("_all"), F.lit(PIECE)), lambda i: F.slice("_all", i, PIECE))
+    placed = equal.select(page, *corners, F.posexplode(pieces).alias("_piece", "_ids")).withColumn("_cx", F.explode(squares("x0", "x1"))).withColumn("_cy", F.explode(squares("y0", "y1")))
+    square = Window.partitionBy(page, "_cx", "_cy")
+    placed = placed.withColumn("_n", F.row_number().over(square.orderBy(*corners, "_piece")) - 1).withColumn("_parts", F.ceil(F.count(F.lit(1)).over(square) / PART))
+    part = F.floor(F.col("_n") / PART)
+    keys = [page, "_cx", "_cy", "_i", "_j"]
+    # By number, as the pairs are many times what is dealt out and sizes say nothing of them.
+    tasks = max(TASKS, int(boxes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    a = placed.withColumn("_i", part).withColumn("_j", F.explode(F.sequence(part, F.col("_parts") - 1))).repartition(tasks, *keys).alias("a")
+    b = placed.withColumn("_j", part).withColumn("_i", F.explode(F.sequence(F.lit(0).cast("long"), part))).repartition(tasks, *keys).alias("b")
+    met = F.col("a._n") <= F.col("b._n")
+    for key in keys:
+        met = met & (F.col(f"a.{key}") == F.col(f"b.{key}"))
     corner = (F.col("a._cx") == F.floor(F.greatest("a.x0", "b.x0") / cell)) & (F.col("a._cy") == F.floor(F.greatest("a.y0", "b.y0") / cell))
     width = F.least("a.x1", "b.x1") - F.greatest("a.x0", "b.x0")
     height = F.least("a.y1", "b.y1") - F.greatest("a.y0", "b.y0")
-    met = (F.col(f"a.{page}") == F.col(f"b.{page}")) & (F.col("a._cx") == F.col("b._cx")) & (F.col("a._cy") == F.col("b._cy")) & corner & (F.col("a.id") < F.col("b.id")) & (width > 0) & (height > 0)
-    return a.join(b, met).select(F.col(f"a.{page}").alias(page), F.col("a.id").alias("id"), F.col("b.id").alias("other"), (width * height).alias("area")).where(F.col("area") > least)
+    lists = a.join(b.hint("merge"), met & corner & (width > 0) & (height > 0) & (width * height > least))
+    lists = lists.select(F.col(f"a.{page}").alias(page), (F.col("a._n") == F.col("b._n")).alias("_same"), F.col("a._ids").alias("_a"), F.col("b._ids").alias("_b"), (width * height).alias("area"))
+    pairs = lists.withColumn("_a", F.explode("_a")).withColumn("_b", F.explode("_b")).where((F.col("_a") < F.col("_b")) | ((F.col("_a") > F.col("_b")) & ~F.col("_same")))
+    return pairs.select(page, F.least("_a", "_b").alias("id"), F.greatest("_a", "_b").alias("other"), "area")
 
 
 def paginate(blocks: DataFrame, height: str, page_height: float) -> DataFrame:

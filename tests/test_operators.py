@@ -239,3 +239,44 @@ def test_nested_roots_and_null_ids(spark):
     meta = spark.createDataFrame([(1, "title", "x"), (1, "author", "y")], "doc_id long, name string, value string")
     changed = edit.set_metadata(meta, spark.createDataFrame([(1, "title", "z"), (1, "author", None)], "doc_id long, name string, value string"))
     assert [(r["name"], r["value"]) for r in changed.collect()] == [("title", "z")]
+
+
+def boxes_of(spark, rows):
+    return spark.createDataFrame(rows, "id long, page int, x0 double, y0 double, x1 double, y1 double")
+
+
+def test_overlapping_boxes_are_all_pairs(spark):
+    import random
+
+    rng = random.Random(7)
+    rows = []
+    for k in range(400):
+        x, y = rng.randrange(-60, 120, 7), rng.randrange(-60, 120, 7)
+        rows.append((rng.choice([k, k, k, 3, None]), rng.choice([1, 1, 2, None]), float(x), float(y), float(x + rng.choice([-1, 0, 9, 30])), float(y + rng.choice([0, 8, 90]))))
+    rows += [(1000 + k, 1, 5.0, 5.0, 15.0, 13.0) for k in range(300)]  # more than one piece of equal boxes
+    for least in (0.0, 70.0):
+        want = []
+        for a in rows:
+            for b in rows:
+                if None not in (a[0], b[0], a[1]) and a[0] < b[0] and a[1] == b[1]:
+                    width, height = min(a[4], b[4]) - max(a[2], b[2]), min(a[5], b[5]) - max(a[3], b[3])
+                    if width > 0 and height > 0 and width * height > least:
+                        want.append((a[1], a[0], b[0], width * height))
+        found = structure.overlapping(boxes_of(spark, rows), "page", least)
+        assert found.columns == ["page", "id", "other", "area"] and [t for _, t in found.dtypes] == ["int", "bigint", "bigint", "double"]
+        assert len(want) > 40_000 and sorted(tuple(r) for r in found.collect()) == sorted(want)
+
+
+def test_equal_boxes_meet_once(spark):
+    found = structure.overlapping(boxes_of(spark, [(k, 1, 5.0, 5.0, 15.0, 13.0) for k in range(600)]), "page")
+    assert len(found.collect()) == 600 * 599 // 2
+    node = found._jdf.queryExecution().executedPlan().executedPlan()
+    while "Join" not in node.nodeName():
+        node = node.plan() if "QueryStage" in node.nodeName() else node.children().head()
+    assert node.metrics().apply("numOutputRows").value() < 600
+
+
+def test_a_full_square_falls_to_many_tasks(spark):
+    found = structure.overlapping(boxes_of(spark, [(k, 1, k / 40, 0.0, 40.0, 8.0) for k in range(1000)]), "page")
+    tasks = [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(tasks) == 1000 * 999 // 2 and len(tasks) > 8
